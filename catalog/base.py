@@ -33,11 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def r6(df: DataFrame) -> DataFrame:
+def r8(df: DataFrame) -> DataFrame:
     """Round doubles for comparison between engines; summation order differs in the last bits."""
     return df.select(
         *[
-            (F.round(F.col(n), 6) + F.lit(0.0)).alias(n) if t == "double" else F.col(n)
+            (F.round(F.col(n), 8) + F.lit(0.0)).alias(n) if t == "double" else F.col(n)
             for n, t in df.dtypes
         ]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DAY, LINK_FLOWS, LINKS, flow_counts, link_flows, link_telemetry, query, r6, table, user_flows
+from catalog.base import DAY, LINK_FLOWS, LINKS, flow_counts, link_flows, link_telemetry, query, r8, table, user_flows
 from telespan.functions import scalar as S
 from telespan.operators.layout import index_rows
 from telespan.sources import counters, flows, telemetry, writers
@@ -50,13 +50,13 @@ def raw_telemetry(spark, sf):
     f"""WITH {RAW},
 enough AS (SELECT series_id FROM usable GROUP BY 1 HAVING count(*) >= 390)
 SELECT series_id, {EPOCH} AS timestamp, l_orderkey, l_linenumber, traffic_mbps, CAST(hour(ts) AS INT) AS hour,
-       CAST(isodow(ts) - 1 AS INT) AS day_of_week, round(sin(2*pi()*hour(ts)/24), 6) AS hour_sin, round(cos(2*pi()*hour(ts)/24), 6) AS hour_cos,
-       round(sin(2*pi()*(isodow(ts)-1)/7), 6) + 0.0 AS weekday_sin, round(cos(2*pi()*(isodow(ts)-1)/7), 6) AS weekday_cos
+       CAST(isodow(ts) - 1 AS INT) AS day_of_week, round(sin(2*pi()*hour(ts)/24), 8) AS hour_sin, round(cos(2*pi()*hour(ts)/24), 8) AS hour_cos,
+       round(sin(2*pi()*(isodow(ts)-1)/7), 8) + 0.0 AS weekday_sin, round(cos(2*pi()*(isodow(ts)-1)/7), 8) AS weekday_cos
 FROM usable SEMI JOIN enough USING (series_id)""",
 )
 def _(spark, sf):
     out = telemetry.scan(raw_telemetry(spark, sf), min_rows=390)
-    return r6(stamped(out).drop("latency_ms", "packet_loss_pct"))
+    return r8(stamped(out).drop("latency_ms", "packet_loss_pct"))
 
 
 @query(
@@ -80,11 +80,11 @@ def _(spark, sf):
     f"""WITH {RAW}
 SELECT series_id, count(*) AS rows_read, count(*) FILTER (traffic_mbps IS NOT NULL AND NOT isnan(traffic_mbps)) AS rows_with_metrics,
        count(*) FILTER (traffic_mbps IS NOT NULL AND NOT isnan(traffic_mbps) AND try_cast(txt AS TIMESTAMP) IS NOT NULL) AS rows_usable,
-       round(count(*) FILTER (traffic_mbps IS NOT NULL AND NOT isnan(traffic_mbps) AND try_cast(txt AS TIMESTAMP) IS NOT NULL) / count(*), 6) AS usable_rate
+       round(count(*) FILTER (traffic_mbps IS NOT NULL AND NOT isnan(traffic_mbps) AND try_cast(txt AS TIMESTAMP) IS NOT NULL) / count(*), 8) AS usable_rate
 FROM raw GROUP BY 1""",
 )
 def _(spark, sf):
-    return r6(telemetry.quality_counts(raw_telemetry(spark, sf)))
+    return r8(telemetry.quality_counts(raw_telemetry(spark, sf)))
 
 
 @query(
@@ -107,19 +107,19 @@ user_flows AS (
 def bins(source, minutes, series="series_id"):
     return f"""
 SELECT {series} AS series_id, CAST(epoch(time_bucket(INTERVAL {minutes} MINUTE, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS timestamp,
-       round(sum(rate) / 1e6, 6) AS traffic_mbps, round(avg(duration), 6) AS latency_ms,
-       round(100.0 * (count(*) FILTER (psh) + count(*) FILTER (rst)) / count(*), 6) AS packet_loss_pct
+       round(sum(rate) / 1e6, 8) AS traffic_mbps, round(avg(duration), 8) AS latency_ms,
+       round(100.0 * (count(*) FILTER (psh) + count(*) FILTER (rst)) / count(*), 8) AS packet_loss_pct
 FROM {source} GROUP BY 1, 2"""
 
 
 @query("src04_flow_log_minutes", f"WITH {USER_FLOWS} {bins('user_flows', 1)}")
 def _(spark, sf):
-    return r6(stamped(flows.bin_flow_log(user_flows(spark, sf), 1)))
+    return r8(stamped(flows.bin_flow_log(user_flows(spark, sf), 1)))
 
 
 @query("a03_flow_log_hours", f"WITH {USER_FLOWS} {bins('user_flows', 60)}")
 def _(spark, sf):
-    return r6(stamped(flows.bin_flow_log(user_flows(spark, sf), 60)))
+    return r8(stamped(flows.bin_flow_log(user_flows(spark, sf), 60)))
 
 
 @query(
@@ -127,25 +127,25 @@ def _(spark, sf):
     "WITH " + USER_FLOWS + bins("user_flows", 60, "'all'"),
 )
 def _(spark, sf):
-    return r6(stamped(flows.bin_flow_log(user_flows(spark, sf, None), 60)))
+    return r8(stamped(flows.bin_flow_log(user_flows(spark, sf, None), 60)))
 
 
 @query("a03_link_days", f"WITH {LINK_FLOWS} {bins('link_flows', DAY)}")
 def _(spark, sf):
-    return r6(stamped(link_telemetry(spark, sf)))
+    return r8(stamped(link_telemetry(spark, sf)))
 
 
 @query(
     "a03_bits_and_clip",
     f"""WITH {LINK_FLOWS}
-SELECT series_id, {EPOCH} AS timestamp, round(traffic_mbps, 6) AS traffic_mbps, packet_loss_pct FROM (
+SELECT series_id, {EPOCH} AS timestamp, round(traffic_mbps, 8) AS traffic_mbps, packet_loss_pct FROM (
   SELECT series_id, date_trunc('hour', ts) AS ts, 8 * sum(rate) / 1e6 AS traffic_mbps,
-         round(least(100, 100.0 * (count(*) FILTER (psh) + count(*) FILTER (rst)) / count(*)), 6) AS packet_loss_pct
+         round(least(100, 100.0 * (count(*) FILTER (psh) + count(*) FILTER (rst)) / count(*)), 8) AS packet_loss_pct
   FROM link_flows GROUP BY ALL)""",
 )
 def _(spark, sf):
     out = flows.bin_flow_log(link_flows(spark, sf), 60, bits=True, clip_loss=True)
-    return r6(stamped(out).drop("latency_ms"))
+    return r8(stamped(out).drop("latency_ms"))
 
 
 @query(
@@ -273,10 +273,10 @@ def _(spark, sf):
     f"""WITH {PROFILE}, long AS (
   SELECT series_id, 'traffic_mbps' AS metric, traffic_mbps AS v FROM counts UNION ALL
   SELECT series_id, 'latency_ms', latency_ms FROM counts UNION ALL SELECT series_id, 'packet_loss_pct', packet_loss_pct FROM counts)
-SELECT series_id, metric, round(quantile_cont(v, 0.9), 6) AS threshold, 0.9::DOUBLE AS quantile FROM long GROUP BY ALL""",
+SELECT series_id, metric, round(quantile_cont(v, 0.9), 8) AS threshold, 0.9::DOUBLE AS quantile FROM long GROUP BY ALL""",
 )
 def _(spark, sf):
-    return r6(flows.spike_threshold_sidecar(flows.telemetry_from_counts(flow_counts(spark, sf))))
+    return r8(flows.spike_threshold_sidecar(flows.telemetry_from_counts(flow_counts(spark, sf))))
 
 
 # ---- counters and probes ----
@@ -368,7 +368,7 @@ def _(spark, sf):
 @query(
     "snk01_forecast_table",
     f"""WITH {LINKS} SELECT series_id, row_idx, 'r1' AS run_id, CASE WHEN row_idx < floor(n_rows * 0.8) THEN 'train' ELSE 'test' END AS split,
-  round(traffic_mbps, 6) AS traffic_mbps FROM tele""",
+  round(traffic_mbps, 8) AS traffic_mbps FROM tele""",
 )
 def _(spark, sf):
     rows = index_rows(link_telemetry(spark, sf), ["series_id"], ["timestamp"], "links").select(
@@ -378,12 +378,12 @@ def _(spark, sf):
         F.when(F.col("row_idx") < F.floor(F.col("n_rows") * F.lit(0.8)), "train").otherwise("test").alias("split"),
         "traffic_mbps",
     )
-    return r6(writers.write_partitioned(rows, ["run_id", "split"], "forecasts"))
+    return r8(writers.write_partitioned(rows, ["run_id", "split"], "forecasts"))
 
 
 @query(
     "snk03_append_log",
-    "SELECT event_id AS seq, event_type AS candidate_id, round(value, 6) AS quality_pct FROM events",
+    "SELECT event_id AS seq, event_type AS candidate_id, round(value, 8) AS quality_pct FROM events",
 )
 def _(spark, sf):
     rows = table(spark, sf, "events").select(
@@ -392,4 +392,4 @@ def _(spark, sf):
     path = writers.scratch_path(spark, "log")
     for part in (F.col("seq") % 2 == 0, F.col("seq") % 2 == 1):
         writers.append_json(rows.filter(part), path)
-    return r6(spark.read.schema(rows.schema).json(path))
+    return r8(spark.read.schema(rows.schema).json(path))
