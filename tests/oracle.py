@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -22,7 +23,7 @@ def connect(sf: str):
 
 def canonical(pdf):
     cols = sorted(pdf.columns)
-    rows = [tuple(None if x is None or x != x else (float(x) if isinstance(x, float) else x) for x in r) for r in pdf[cols].itertuples(index=False)]
+    rows = [tuple(None if pd.isna(x) else (float(x) if isinstance(x, float) else x) for x in r) for r in pdf[cols].itertuples(index=False)]
     return cols, sorted(rows, key=repr)
 
 
