@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ingest", "series", "scoring", "selection", "blending", "learning"]
+MODULES = ["ingest", "series", "scoring", "selection", "blending", "learning", "live"]
 
 
 def registry():

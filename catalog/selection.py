@@ -337,3 +337,44 @@ def _(spark, sf):
     scored = V.score_naive(links(spark, sf))
     runs_ = scored.select("series_id", "method").distinct()
     return r8(runs.traffic_f1(runs_, scored.filter(F.col("method") != "Moving Average")))
+
+
+@query(
+    "snk02_src10_run_summaries",
+    SCORED + "SELECT 'run=' || replace(method, ' ', '%20') AS run, round(avg(quality_pct), 6) AS quality, round(avg(mae_improvement_pct), 6) AS gain, count(*) AS rows, CAST(0 AS BIGINT) AS epochs, 'unknown' AS model FROM per_method GROUP BY method",
+)
+def _(spark, sf):
+    """Nested summaries written as one JSON file per run and scanned again."""
+    gates = E.gates(V.score_naive(links(spark, sf)))
+    overall = F.struct(
+        F.round(F.avg("quality_pct"), 6).alias("normalized_quality_pct"),
+        (F.round(F.avg("mae_improvement_pct"), 6) + 0.0).alias("mae_improvement_vs_persistence_pct"),
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(0).cast("bigint").alias("epochs"),
+    )
+    path = scratch_path(spark, "summaries")
+    gates.groupBy(F.col("method").alias("run")).agg(overall.alias("overall")).write.partitionBy("run").json(path)
+    return runs.read_run_summaries(spark, f"{path}/*")
+
+
+@query(
+    "snk02_nested_report",
+    SCORED + "SELECT series_id, method, CAST(3 AS INT) AS metrics, round(quality_pct, 6) AS quality_pct, quality_ge_90 FROM gated",
+)
+def _(spark, sf):
+    rows = links(spark, sf)
+    scored = V.score_naive(rows)
+    gates = E.gates(scored)
+    overall = gates.select("series_id", "method", "quality_pct")
+    path = scratch_path(spark, "report")
+    writers.write_report(writers.run_summary(overall, E.compare_with_baseline(scored), gates), path, "json")
+    out = spark.read.schema(
+        "series_id string, method string, overall struct<quality_pct: double>, per_feature array<struct<metric: string>>, gates_passed map<string, boolean>"
+    ).json(path)
+    return out.select(
+        "series_id",
+        "method",
+        F.size("per_feature").alias("metrics"),
+        F.round("overall.quality_pct", 6).alias("quality_pct"),
+        F.element_at("gates_passed", "quality_ge_90").alias("quality_ge_90"),
+    )
