@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from telespan.model import METRICS
 from telespan.operators.forecasts import to_long
-from telespan.operators.layout import CHUNK_ROWS, chunk_window, drop_halo, split_chunks
+from telespan.operators.layout import CHUNK_ROWS, chunk_window, drop_halo, lookup, split_chunks
 
 MOVING_WINDOW = 5
 SEASON = 24
@@ -130,7 +130,7 @@ def linear_regression(
     """
     coefficients = fit_linear(fit_on if fit_on is not None else df, chunk_rows)
     lagged, xs = _lag_columns(df, chunk_rows)
-    joined = lagged.join(coefficients, "series_id", "left")
+    joined = lookup(lagged, coefficients, ["series_id"], "left")
     out = {}
     for j, m in enumerate(METRICS):
         terms = F.get("_intercept", F.lit(j))

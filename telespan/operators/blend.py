@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from telespan.functions import quality as Q
 from telespan.functions import scalar as S
 from telespan.model import metric_lookup, metric_weight
+from telespan.operators.layout import lookup
 from telespan.operators.quantile import exact_quantile
 
 BY = ["series_id", "metric"]
@@ -36,7 +37,7 @@ def two_learner_weights(rows: DataFrame, steps: int = 41, q: float = 0.90) -> Da
     limits = exact_quantile(rows, BY, "actual", q).join(
         rows.groupBy(*BY).agg(F.stddev_pop("actual").alias("_std")), BY
     )
-    grid = rows.join(limits, BY).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    grid = lookup(rows, limits, BY).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     w = F.col("_i") / float(steps - 1)
     blended = w * F.col("first") + (1.0 - w) * F.col("second")
     scored = (
@@ -72,7 +73,7 @@ def calibration(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
         F.avg(F.abs(F.col("actual") - F.col("persistence"))).alias("_base"),
     )
     fixed = thresholds.select(*BY, "threshold").join(base, BY)
-    grid = rows.join(fixed, BY).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(209))))
+    grid = lookup(rows, fixed, BY).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(209))))
     scale = (85 + 5 * F.floor(F.col("_g") / 30)) / 100.0
     bias = (F.floor(F.col("_g") / 6) % 5 - 2) * 0.05 * F.col("_std")
     weight = (F.col("_g") % 6) / 10.0
@@ -108,7 +109,7 @@ def apply_calibration(rows: DataFrame, params: DataFrame) -> DataFrame:
     w = F.col("persistence_weight")
     value = (F.col("scale") * F.col("predicted") + F.col("bias") + w * F.col("persistence")) / (1.0 + w)
     return (
-        rows.join(params, BY)
+        lookup(rows, params, BY)
         .withColumn("predicted", S.clip(value))
         .drop("scale", "bias", "persistence_weight")
     )
@@ -117,7 +118,7 @@ def apply_calibration(rows: DataFrame, params: DataFrame) -> DataFrame:
 def blend_two(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """M-14, first step: weighted sum of two learners."""
     value = F.col("first_weight") * F.col("first") + F.col("second_weight") * F.col("second")
-    return rows.join(weights, BY).withColumn("predicted", value).drop("first_weight", "second_weight")
+    return lookup(rows, weights, BY).withColumn("predicted", value).drop("first_weight", "second_weight")
 
 
 def mix_persistence(rows: DataFrame, weights: DataFrame, clip: bool = True) -> DataFrame:
@@ -125,7 +126,7 @@ def mix_persistence(rows: DataFrame, weights: DataFrame, clip: bool = True) -> D
     w = F.coalesce("persistence_weight", F.lit(0.0))
     value = w * F.col("persistence") + (1.0 - w) * F.col("predicted")
     return (
-        rows.join(weights, BY, "left")
+        lookup(rows, weights, BY, "left")
         .withColumn("predicted", S.clip(value) if clip else value)
         .drop("persistence_weight")
     )
@@ -134,7 +135,7 @@ def mix_persistence(rows: DataFrame, weights: DataFrame, clip: bool = True) -> D
 def lift_spikes(rows: DataFrame, thresholds: DataFrame, near: dict[str, float], lift: dict[str, float]) -> DataFrame:
     """P-23"""
     value = S.spike_lift(F.col("predicted"), F.col("threshold"), metric_lookup(near), metric_lookup(lift))
-    return rows.join(thresholds.select(*BY, "threshold"), BY).withColumn("predicted", value).drop("threshold")
+    return lookup(rows, thresholds.select(*BY, "threshold"), BY).withColumn("predicted", value).drop("threshold")
 
 
 # ---- stacking ----
@@ -144,7 +145,7 @@ def with_tail_position(forecasts: DataFrame) -> DataFrame:
     """J-02: distance from the end, from the number of rows of each run and series."""
     sizes = forecasts.groupBy("series_id", "method", "metric").agg(F.max("row_idx").alias("_last"))
     return (
-        forecasts.join(sizes, ["series_id", "method", "metric"])
+        lookup(forecasts, sizes, ["series_id", "method", "metric"])
         .withColumn("tail_idx", F.col("_last") - F.col("row_idx"))
         .drop("_last")
     )
@@ -204,8 +205,7 @@ def stack(test: DataFrame, weights: DataFrame, methods: list[str]) -> DataFrame:
     """M-09: stacked forecasts of the test part, by tail position."""
     value = sum((F.col(f"w{i}") * F.col(f"p{i}") for i in range(len(methods))), F.lit(0.0))
     return (
-        align_tails(test, methods)
-        .join(weights, BY)
+        lookup(align_tails(test, methods), weights, BY)
         .select(*BY, "tail_idx", "actual", value.alias("predicted"))
     )
 
@@ -246,8 +246,7 @@ def apply_specialists(model: DataFrame, specialist: DataFrame, weak: DataFrame)
         .otherwise(F.col("predicted"))
     )
     return (
-        model.join(s, [*BY, "tail_idx"], "left")
-        .join(flags, BY, "left")
+        lookup(model.join(s, [*BY, "tail_idx"], "left"), flags, BY, "left")
         .withColumn("predicted", value)
         .drop("_s", "_weak")
     )

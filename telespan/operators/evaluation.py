@@ -8,6 +8,7 @@ from telespan.functions import quality as Q
 from telespan.functions import scalar as S
 from telespan.model import METRIC_UNITS, SPIKE_MULTIPLIERS, metric_lookup, metric_weight
 from telespan.operators.forecasts import to_long
+from telespan.operators.layout import lookup
 from telespan.operators.quantile import exact_quantile
 
 KEYS = ["series_id", "method", "metric"]
@@ -121,21 +122,21 @@ def regression_metrics(forecasts: DataFrame, keys: list[str] = KEYS) -> DataFram
 
 def spike_scores(forecasts: DataFrame, thresholds: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """A-07"""
-    joined = forecasts.join(thresholds.select("series_id", "metric", "threshold"), ["series_id", "metric"])
+    joined = lookup(forecasts, thresholds.select("series_id", "metric", "threshold"), ["series_id", "metric"])
     counts = joined.groupBy(*keys, "threshold").agg(*_named(_spike_aggregates(guard=False)))
     return counts.select(*keys, "threshold", *_named(_spike_columns()))
 
 
 def spike_analysis(forecasts: DataFrame, thresholds: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """A-08: both traffic thresholds are counted in one pass; the guard then picks one."""
-    joined = forecasts.join(thresholds, ["series_id", "metric"])
+    joined = lookup(forecasts, thresholds, ["series_id", "metric"])
     counts = joined.groupBy(*keys, "threshold", "threshold_source").agg(*_named(_spike_aggregates(guard=True)))
     return _pick_guarded(counts).select(*keys, "threshold", "threshold_source", *_named(_spike_columns()))
 
 
 def score(forecasts: DataFrame, thresholds: DataFrame) -> DataFrame:
     """A-06, A-08 and A-11 in one pass over the forecasts: the input of every report below."""
-    joined = forecasts.join(thresholds, ["series_id", "metric"])
+    joined = lookup(forecasts, thresholds, ["series_id", "metric"])
     sums = joined.groupBy(*KEYS, "threshold", "threshold_source").agg(
         *_named(_error_aggregates()), *_named(_spike_aggregates(guard=True))
     )
@@ -293,9 +294,9 @@ def false_safe_rate(forecasts: DataFrame, threshold: DataFrame | None = None, q:
     traffic = forecasts.filter(F.col("metric") == "traffic_mbps")
     if threshold is None:
         threshold = exact_quantile(traffic, ["series_id", "method"], "actual", q, "threshold")
-        joined = traffic.join(threshold, ["series_id", "method"])
+        joined = lookup(traffic, threshold, ["series_id", "method"])
     else:
-        joined = traffic.join(threshold, "series_id")
+        joined = lookup(traffic, threshold, ["series_id"])
     peak = F.col("actual") > F.col("threshold")
     counts = joined.groupBy("series_id", "method").agg(
         F.count_if(peak).alias("peaks"), F.count_if(peak & (F.col("predicted") <= F.col("threshold"))).alias("_missed")
@@ -360,7 +361,7 @@ def spike_weighted_error(
     multipliers: dict[str, float] = SPIKE_MULTIPLIERS,
 ) -> DataFrame:
     """P-18: sum over metrics of the mean weighted term equals the mean over rows of the sum."""
-    joined = forecasts.join(thresholds.select("series_id", "metric", "threshold"), ["series_id", "metric"])
+    joined = lookup(forecasts, thresholds.select("series_id", "metric", "threshold"), ["series_id", "metric"])
     term = S.spike_weighted_term(
         F.col("predicted") - F.col("actual"),
         metric_lookup(multipliers),
@@ -411,7 +412,7 @@ def residual_band(forecasts: DataFrame, residual_std: DataFrame, z: float = 1.96
     """A-30: ``residual_std`` has one row per series, method and metric."""
     width = F.lit(z) * F.col("residual_std")
     return (
-        forecasts.join(residual_std, KEYS)
+        lookup(forecasts, residual_std, KEYS)
         .withColumn("lower_95", F.greatest(F.lit(0.0), F.col("predicted") - width))
         .withColumn("upper_95", F.col("predicted") + width)
         .drop("residual_std")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from telespan.functions import scalar as S
 from telespan.model import METRICS
 from telespan.operators.forecasts import to_long
-from telespan.operators.layout import CHUNK_ROWS, chunk_window, drop_halo, split_chunks, windowed
+from telespan.operators.layout import CHUNK_ROWS, chunk_window, drop_halo, lookup, split_chunks, windowed
 
 ROLL_WINDOWS = (3, 6, 12, 24)
 CALENDAR_FEATURES = ["hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "is_weekend"]
@@ -123,7 +123,7 @@ def window_scaler(df: DataFrame, length: int, sequences_used: Column, key: str =
     means = rows.groupBy(key, "metric").agg(
         F.sum("_w").alias("weight"), (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("mean")
     )
-    centred = rows.join(means, [key, "metric"])
+    centred = lookup(rows, means, [key, "metric"])
     var = centred.groupBy(key, "metric", "mean", "weight").agg(
         (F.sum(F.col("_w") * F.pow(F.col("value") - F.col("mean"), F.lit(2))) / F.first("weight")).alias("_var")
     )
@@ -135,8 +135,7 @@ def window_scaler(df: DataFrame, length: int, sequences_used: Column, key: str =
 def standardize(df: DataFrame, scaler: DataFrame, key: str = "series_id") -> DataFrame:
     """Long-form values to z-scores; the scaler has one row per series and metric."""
     return (
-        to_long(df)
-        .join(scaler.select(key, "metric", "mean", "scale"), [key, "metric"])
+        lookup(to_long(df), scaler.select(key, "metric", "mean", "scale"), [key, "metric"])
         .withColumn("z", (F.col("value") - F.col("mean")) / F.col("scale"))
         .drop("mean", "scale")
     )

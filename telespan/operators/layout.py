@@ -60,6 +60,29 @@ def index_rows(
     )
 
 
+SALTS = 16
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", salt_by: str | Sequence[str] | None = None
+) -> DataFrame:
+    """Join rows with a table that has at most one row per key, safely for a hot key.
+
+    Joining on the key alone would move all rows of a hot key to one task, and a
+    later aggregation on the key would be planned on top without a shuffle, so
+    nothing could split it. Here the join also uses a salt from the row
+    position, and the table holds one copy per salt. Aggregations afterwards
+    combine partial results first, and adaptive execution may broadcast the
+    table when its measured size allows, or split skewed partitions.
+    """
+    if salt_by is None:
+        salt_by = next(c for c in ("row_idx", "tail_idx", "tie") if c in rows.columns)
+    by = [salt_by] if isinstance(salt_by, str) else list(salt_by)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def rebase(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """Keep rows ``[start, end)`` of each series and renumber them from zero.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from telespan.functions import scalar as S
 from telespan.model import METRIC_WEIGHTS, METRICS
-from telespan.operators.layout import CHUNK_ROWS, windowed
+from telespan.operators.layout import CHUNK_ROWS, lookup, windowed
 from telespan.operators.quantile import exact_quantile
 
 MIN_ROWS = 120
@@ -33,7 +33,7 @@ def profile_series(
     spike = F.col("_train") & (F.col("traffic_mbps") > F.col("_threshold"))
     pairs = [(a, b) for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]]
     sums = (
-        usable.join(threshold, "series_id")
+        lookup(usable, threshold, ["series_id"])
         .groupBy("series_id", "n_rows")
         .agg(
             F.count_if("_train").alias("train_rows_est"),

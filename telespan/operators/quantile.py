@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from telespan.operators.layout import lookup
+
 SKETCH_ACCURACY = 10_000
 _MARGIN = 5.0 / SKETCH_ACCURACY
 _SLICES = 256
@@ -30,7 +32,9 @@ def exact_quantile(
     fails instead of returning a wrong value.
     """
     keys = list(keys)
-    data = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    position = [c for c in ("row_idx", "tail_idx", "tie") if c in df.columns and c not in keys][:1]
+    data = df.select(*keys, *[F.col(c).alias("_at") for c in position], F.col(value).alias("_v"))
+    data = data.filter(F.col("_v").isNotNull())
     sketch = data.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
         F.percentile_approx("_v", [max(q - _MARGIN, 0.0), min(q + _MARGIN, 1.0)], SKETCH_ACCURACY).alias("_b"),
@@ -45,7 +49,7 @@ def exact_quantile(
         F.when(F.lit(q + _MARGIN >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
         "_max",
     )
-    placed = data.join(bounds, keys)
+    placed = lookup(data, bounds, keys, salt_by="_at" if position else "_v")
     width = F.col("_hi") - F.col("_lo")
     slice_no = (
         F.when(F.col("_v") < F.col("_lo"), F.lit(-1))

@@ -8,7 +8,7 @@ from telespan.functions.scalar import any_spike, epoch_seconds
 from telespan.model import METRIC_ROLES, METRICS, metric_lookup
 from telespan.operators.evaluation import KEYS
 from telespan.operators.forecasts import to_long
-from telespan.operators.layout import windowed
+from telespan.operators.layout import lookup, windowed
 from telespan.operators.quantile import exact_quantile
 
 DEFAULT_STEP_SECONDS = 3600
@@ -37,7 +37,7 @@ def wide_thresholds(thresholds: DataFrame) -> DataFrame:
 
 def spike_rows(df: DataFrame, thresholds: DataFrame, only_spikes: bool = True) -> DataFrame:
     """P-16, P-17, P-25: flags per metric and for any metric, positions kept."""
-    out = df.join(wide_thresholds(thresholds), "series_id")
+    out = lookup(df, wide_thresholds(thresholds), ["series_id"])
     pairs = [(F.col(m), F.col(f"{m}_threshold")) for m in METRICS]
     out = out.withColumns(
         {**{f"{m}_spike": F.col(m) > F.col(f"{m}_threshold") for m in METRICS}, "any_spike": any_spike(pairs)}
@@ -48,7 +48,7 @@ def spike_rows(df: DataFrame, thresholds: DataFrame, only_spikes: bool = True) -
 def predicted_spikes(forecasts: DataFrame, thresholds: DataFrame) -> DataFrame:
     """P-25: positions where a forecast passes its threshold."""
     t = thresholds.select("series_id", "metric", "threshold")
-    return forecasts.join(t, ["series_id", "metric"]).filter(F.col("predicted") > F.col("threshold"))
+    return lookup(forecasts, t, ["series_id", "metric"]).filter(F.col("predicted") > F.col("threshold"))
 
 
 def correlations(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def correlations(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame) -> DataFrame:
     """A-26 with exact quartiles."""
-    rows = to_long(df).select("series_id", "metric", "value")
+    rows = to_long(df).select("series_id", "row_idx", "metric", "value")
     out = rows.groupBy("series_id", "metric").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -100,7 +100,7 @@ def _histogram(errors: DataFrame, bins: int) -> DataFrame:
     # A single value gets a unit-wide range around it, as numpy does.
     lo = F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5)
     hi = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_hi") + 0.5)
-    placed = errors.join(extent.select(*KEYS, lo.alias("_lo"), hi.alias("_hi"), "n"), KEYS)
+    placed = lookup(errors, extent.select(*KEYS, lo.alias("_lo"), hi.alias("_hi"), "n"), KEYS)
     # Rounding keeps values on a bin edge in the upper bin whatever the last bits of the division are.
     position = F.round((F.col("error") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins), 9)
     bucket = F.least(F.floor(position), F.lit(bins - 1)).cast("int")
@@ -109,13 +109,13 @@ def _histogram(errors: DataFrame, bins: int) -> DataFrame:
 
 def error_histogram(forecasts: DataFrame, bins: int = 30) -> DataFrame:
     """A-28, raw errors; empty bins are left out."""
-    errors = forecasts.select(*KEYS, (F.col("predicted") - F.col("actual")).alias("error"))
+    errors = forecasts.select(*KEYS, "row_idx", (F.col("predicted") - F.col("actual")).alias("error"))
     return _histogram(errors, bins).select(*KEYS, "bin", "rows")
 
 
 def normalized_errors(forecasts: DataFrame) -> DataFrame:
     std = forecasts.groupBy(*KEYS).agg(F.greatest(F.stddev_pop("actual"), F.lit(1e-9)).alias("_std"))
-    return forecasts.join(std, KEYS).select(*KEYS, ((F.col("predicted") - F.col("actual")) / F.col("_std")).alias("error"))
+    return lookup(forecasts, std, KEYS).select(*KEYS, "row_idx", ((F.col("predicted") - F.col("actual")) / F.col("_std")).alias("error"))
 
 
 def error_density(forecasts: DataFrame, bins: int = 24) -> DataFrame:
@@ -128,7 +128,7 @@ def error_density(forecasts: DataFrame, bins: int = 24) -> DataFrame:
 
 def error_limit(forecasts: DataFrame, q: float = 0.95) -> DataFrame:
     """A-28: axis limit, at least 0.1, over all metrics of a method."""
-    errors = normalized_errors(forecasts).select("series_id", "method", F.abs("error").alias("error"))
+    errors = normalized_errors(forecasts).select("series_id", "method", "row_idx", F.abs("error").alias("error"))
     return exact_quantile(errors, ["series_id", "method"], "error", q, "error_limit").withColumn(
         "error_limit", F.greatest("error_limit", F.lit(0.1))
     )
@@ -137,7 +137,7 @@ def error_limit(forecasts: DataFrame, q: float = 0.95) -> DataFrame:
 def spike_summary(forecasts: DataFrame, thresholds: DataFrame) -> DataFrame:
     """A-29"""
     error = F.col("predicted") - F.col("actual")
-    joined = forecasts.join(thresholds.select("series_id", "metric", "threshold"), ["series_id", "metric"])
+    joined = lookup(forecasts, thresholds.select("series_id", "metric", "threshold"), ["series_id", "metric"])
     return joined.groupBy(*KEYS, "threshold").agg(
         F.avg(F.abs(error)).alias("mae"),
         F.avg(error).alias("bias"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from telespan.functions.stats import student_t_p
-from telespan.operators.layout import CHUNK_ROWS, windowed
+from telespan.operators.layout import CHUNK_ROWS, lookup, windowed
 
 ZERO = 1e-8  # absolute tolerance below which paired differences count as equal
 
@@ -34,7 +34,7 @@ def diebold_mariano(pairs: DataFrame, h: int = 1, power: int = 2, chunk_rows: in
     if h > 1:
         sizes = rows.groupBy("series_id", "metric").agg(F.count(F.lit(1)).alias("n_rows"))
         lags = {f"d{k}": (lambda k: lambda w: F.lag("d", k).over(w))(k) for k in range(1, h)}
-        rows = windowed(rows.join(sizes, ["series_id", "metric"]), lags, h - 1, ["series_id", "metric"], chunk_rows)
+        rows = windowed(lookup(rows, sizes, ["series_id", "metric"]), lags, h - 1, ["series_id", "metric"], chunk_rows)
     variance = F.var_pop("d")
     for k in range(1, h):
         variance = variance + F.coalesce(2.0 * (1.0 - k / h) * F.covar_pop("d", f"d{k}"), F.lit(0.0))

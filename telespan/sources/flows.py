@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from telespan.functions import scalar as S
-from telespan.model import METRICS, require_columns
-from telespan.operators.layout import index_rows, rebase, windowed
+from telespan.model import require_columns
+from telespan.operators.layout import index_rows, lookup, rebase, windowed
 from telespan.operators.quantile import exact_quantile
 
 HIGH_LOAD_QUANTILE = 0.88
@@ -102,7 +102,7 @@ def telemetry_from_counts(
     if only == "key":
         data = data.filter(F.col("l_ipn") == key)
     elif only == "most_active":
-        data = data.join(most_active(data), "l_ipn", "left_semi")
+        data = data.join(F.broadcast(most_active(data)), "l_ipn", "left_semi")  # a single row
     profile = sum_flows(data)
     tie = [c for c in ("r_asn",) if c in profile.columns]
     ordered = index_rows(profile, ["l_ipn"], ["date", *tie], "counts")
@@ -115,8 +115,7 @@ def telemetry_from_counts(
         F.min(S.clip("f")).alias("_low"), F.max(S.clip("f")).alias("_high")
     )
     scaled = (
-        ordered.join(day_starts, ["l_ipn", "date"])
-        .join(extent, "l_ipn")
+        lookup(lookup(ordered, day_starts, ["l_ipn", "date"]), extent, ["l_ipn"])
         .select(
             "l_ipn",
             (F.col("date") + F.make_interval(mins=(F.col("row_idx") - F.col("_first")).cast("int"))).alias("timestamp"),
@@ -131,7 +130,7 @@ def telemetry_from_counts(
         "key": F.concat(F.lit(f"{LABEL}:l_ipn="), F.col("l_ipn").cast("string")),
         "most_active": F.concat(F.lit(f"{LABEL}:auto_most_active_l_ipn="), F.col("l_ipn").cast("string")),
     }[only]
-    return scaled.join(high, "l_ipn").select(
+    return lookup(scaled, high, ["l_ipn"]).select(
         F.col("l_ipn").cast("string").alias("series_id"),
         "timestamp",
         "tie",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telespan.model import EXPERIENCE_SCHEMA, RUN_SUMMARY_SCHEMA
+from telespan.operators.layout import lookup
 
 
 def read_experience(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +36,7 @@ def complete_runs(forecasts: DataFrame, splits: tuple[str, ...] = ("validation",
         .filter(F.col("_n") == len(splits))
         .select("run_id")
     )
-    return forecasts.join(whole, "run_id", "left_semi")
+    return lookup(forecasts, whole, ["run_id"], "left_semi")
 
 
 def traffic_f1(runs: DataFrame, spikes: DataFrame) -> DataFrame:

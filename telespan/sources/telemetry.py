@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telespan.functions.scalar import calendar, finite, parse_timestamp
 from telespan.model import METRICS, TELEMETRY_SCHEMA, require_columns
+from telespan.operators.layout import lookup
 
 MIN_ROWS = 30
 
@@ -32,7 +33,7 @@ def scan(df: DataFrame, key: str = "series_id", min_rows: int = MIN_ROWS) -> Dat
     rows = clean(df, key)
     enough = rows.groupBy(key).count().filter(F.col("count") >= min_rows).select(key)
     out = rows.withColumns({"hour": F.hour("timestamp"), "day_of_week": F.weekday("timestamp"), **calendar()})
-    return out.join(enough, key, "left_semi")
+    return lookup(out, enough, [key], "left_semi", salt_by="timestamp")
 
 
 def rejected(df: DataFrame, key: str = "series_id", min_rows: int = MIN_ROWS) -> DataFrame:
