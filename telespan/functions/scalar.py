@@ -165,7 +165,7 @@ def spike_lift(predicted: Column, threshold: Column, near: Column, lift: Column)
 
 def parse_metric_values(text: Column) -> Column:
     """A comma list such as ``1.0,1.8,2.5`` as an array of numbers; other lengths become NULL."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) == 3, F.transform(parts, lambda p: p.try_cast("double")))
 
 
