@@ -69,7 +69,7 @@ def _(spark, sf):
         ).alias("interfaces"),
     )
     out = finished(spark, live.counter_rates(live.node_samples(messages)), "rates")
-    return out.select("node", F.unix_micros("ts").alias("ts_us"), "delta")
+    return out.select("node", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("ts_us"), "delta")
 
 
 @query(

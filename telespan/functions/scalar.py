@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Per-metric affine mapping of normalized flow counts.
 TRAFFIC_FLOOR, TRAFFIC_SPAN = 10.0, 140.0
@@ -21,6 +21,12 @@ def parse_timestamp(x: Column | str) -> Column:
     return F.try_to_timestamp(_c(x).cast("string")).cast("timestamp_ntz")
 
 
+def time_column(df: DataFrame, name: str) -> Column:
+    """P-03 for a column of any type: typed times are only cast, text is parsed."""
+    typed = dict(df.dtypes)[name].startswith(("timestamp", "date"))
+    return F.col(name).cast("timestamp_ntz") if typed else parse_timestamp(name)
+
+
 def parse_number(x: Column | str) -> Column:
     """P-04: unreadable text, NaN and infinities become NULL."""
     return finite(_c(x).try_cast("double"))

@@ -76,7 +76,8 @@ def lookup(
     table when its measured size allows, or split skewed partitions.
     """
     if salt_by is None:
-        salt_by = next(c for c in ("row_idx", "tail_idx", "tie") if c in rows.columns)
+        others = [c for c in rows.columns if c not in on]
+        salt_by = next((c for c in ("row_idx", "tail_idx", "tie") if c in others), others)
     by = [salt_by] if isinstance(salt_by, str) else list(salt_by)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))

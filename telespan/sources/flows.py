@@ -34,7 +34,7 @@ def bin_flow_log(
 
     rows = df.select(
         F.col(key),
-        S.parse_timestamp("Timestamp").alias("_ts"),
+        S.time_column(df, "Timestamp").alias("_ts"),
         S.finite(optional("Flow Bytes/s").cast("double")).alias("_rate"),
         S.finite(optional("Flow Duration").cast("double")).alias("_duration"),
         F.coalesce(optional("PSH Flag Count") > 0, F.lit(False)).alias("_psh"),
@@ -56,7 +56,7 @@ def clean_flow_counts(df: DataFrame) -> DataFrame:
     require_columns(df, ["date", "l_ipn", "f"])
     extra = ["r_asn"] if "r_asn" in df.columns else []
     return df.select(
-        S.parse_timestamp("date").alias("date"),
+        S.time_column(df, "date").alias("date"),
         S.parse_number("l_ipn").cast("bigint").alias("l_ipn"),
         *extra,
         S.parse_number("f").alias("f"),
@@ -109,13 +109,14 @@ def telemetry_from_counts(
     if rows is not None:
         start = slice_start(F.col("l_ipn"), F.col("n_rows"), rows, seed)
         ordered = rebase(ordered, start, F.least(F.col("n_rows"), start + rows))
-    # W-05: the minute inside a date is the position minus the first position of the date.
+    # W-05: the minute inside a date is the position minus the first position of the date. After the
+    # sums a (key, date) holds one row per remote network, so this fine-grained join needs no salt.
     day_starts = ordered.groupBy("l_ipn", "date").agg(F.min("row_idx").alias("_first"))
     extent = ordered.groupBy("l_ipn").agg(
         F.min(S.clip("f")).alias("_low"), F.max(S.clip("f")).alias("_high")
     )
     scaled = (
-        lookup(lookup(ordered, day_starts, ["l_ipn", "date"]), extent, ["l_ipn"])
+        lookup(ordered.join(day_starts, ["l_ipn", "date"]), extent, ["l_ipn"])
         .select(
             "l_ipn",
             (F.col("date") + F.make_interval(mins=(F.col("row_idx") - F.col("_first")).cast("int"))).alias("timestamp"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from telespan.functions.scalar import calendar, finite, parse_timestamp
+from telespan.functions.scalar import calendar, finite, time_column
 from telespan.model import METRICS, TELEMETRY_SCHEMA, require_columns
 from telespan.operators.layout import lookup
 
@@ -19,7 +19,7 @@ def clean(df: DataFrame, key: str = "series_id") -> DataFrame:
     """SRC-02: coerce times, drop rows without a time or any of the three metrics (P-01 .. P-04)."""
     require_columns(df, [key, "timestamp", *METRICS])
     metrics = {m: finite(F.col(m).cast("double")) for m in METRICS}
-    return df.withColumns({"timestamp": parse_timestamp("timestamp"), **metrics}).dropna(
+    return df.withColumns({"timestamp": time_column(df, "timestamp"), **metrics}).dropna(
         subset=[key, "timestamp", *METRICS]
     )
 
@@ -57,7 +57,7 @@ def sample_rows(df: DataFrame, n: int, order: list[str], seed: int = 42) -> Data
 
 def quality_counts(df: DataFrame, key: str = "series_id") -> DataFrame:
     """A-36: rows read and rows left after each cleaning step, in one pass."""
-    time_ok = parse_timestamp("timestamp").isNotNull()
+    time_ok = time_column(df, "timestamp").isNotNull()
     metrics_ok = F.lit(True)
     for m in METRICS:
         metrics_ok = metrics_ok & finite(F.col(m).cast("double")).isNotNull()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from telespan.operators import baselines as B
 from telespan.operators import features as X
 from telespan.operators import forecasts as C
-from telespan.operators.layout import index_rows
+from telespan.operators.layout import index_rows, lookup
 from telespan.operators.quantile import exact_quantile
 
 COLUMNS = "series_id string, timestamp timestamp_ntz, traffic_mbps double, latency_ms double, packet_loss_pct double"
@@ -110,3 +110,18 @@ def test_sequences_and_alignment(spark):
     assert [w["traffic_mbps"] for w in out[0]["window"]] == [0, 1, 2] and out[0]["traffic_mbps"] == 3
     assert [w["traffic_mbps"] for w in out[-1]["window"]] == [6, 7, 8] and out[-1]["traffic_mbps"] == 9
     assert C.feature_slice(100, 150, 48, 24, 1000) == (124, 174)
+
+
+def test_lookup_equals_join_and_frees_the_key(indexed):
+    table = indexed.filter("series_id <> 'c'").groupBy("series_id").agg(F.max("traffic_mbps").alias("top"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = lookup(indexed, table, ["series_id"], how).groupBy("series_id").count().collect()
+        want = indexed.join(table, ["series_id"], how).groupBy("series_id").count().collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    # The aggregate after the lookup has its own shuffle on the key, so rows of a hot key are never gathered.
+    spark = indexed.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = lookup(indexed, table, ["series_id"]).groupBy("series_id").agg(F.sum("top"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [series_id" in plan and "_salt" in plan and "partial_sum(top" in plan
