@@ -44,11 +44,11 @@ def compare(spark_pdf, duck_pdf, tolerance: float = 0.0) -> str:
 def main():
     from pyspark.sql import SparkSession
 
-    from catalog import registry
+    from __spark_entry__ import oracle_sql, queries as registered
     from telespan.scratch import release
 
     sf, names = sys.argv[1], sys.argv[2:]
-    queries, sql = registry()
+    queries, sql = registered(), oracle_sql()
     names = [n for n in queries if not names or any(n.startswith(p) for p in names)]
     spark = (
         SparkSession.builder.master("local[8]")
