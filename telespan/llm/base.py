@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,3 +33,15 @@ def whole_text(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
+
+
+def slices(texts: Sequence[str], most: int = 2_000_000) -> Iterator[slice]:
+    """Consecutive slices of about ``most`` characters, to bound what a batch takes while it is worked on."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= most:
+            yield slice(begin, i + 1)
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
