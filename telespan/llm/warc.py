@@ -140,6 +140,8 @@ def _record(data: bytes, at: int) -> tuple[int, dict] | str:
     if not all(b":" in x for x in lines):
         return "bad header line"
     head = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, v in (x.split(b":", 1) for x in lines)}
+    if len(head) < len(lines):
+        return "a header twice"  # as where a cut runs two records together
     if not head.get("content-length", "").isdigit():
         return "no length"
     begin = head_end + 4
