@@ -13,8 +13,10 @@ Equal texts are one node from the start, however many there are. In a bucket
 larger one the nodes are compared with a pivot, the node found in the most and
 largest buckets, which is the original where there is one. After ``PIVOTS``
 rounds of one pivot a bucket, the nodes left outside the class of its first
-pivot are compared with all its nodes in other classes. So no pair of different
-classes goes untested, and no group is collected.
+pivot are compared with all its nodes in other classes, but for pairs that
+cannot be similar: k-mers that no other node of these buckets has are aligned
+with nothing, which bounds what a pair can reach. So no pair of different
+classes that may be similar goes untested, and no group is collected.
 
 Defined results: a null text is empty, and all empty texts are equal; case and
 white space do not count; a text of under five words is one k-mer; a row
@@ -195,10 +197,13 @@ def small_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of each pivot with the nodes of its bucket that are in other classes."""
-    other = (F.col("node") != F.col("pivot")) & (F.col("label") != F.col("pivot_label"))
-    both = rows.join(pivots, "key").where(other & _fits(F.col("size"), F.col("pivot_size")))
-    return both.select(*_pairs(F.col("node"), F.col("pivot"))).distinct()
+    """Pairs of each pivot with the nodes of its bucket that are in other classes and may be similar to it."""
+    x, y = rows.alias("x"), pivots.alias("y")
+    total = F.col("x.size") + F.col("y.size")
+    shared = F.least(F.col("x.size") - F.col("x.lone"), F.col("y.size") - F.col("y.lone"))
+    may = (F.col("x.label") != F.col("y.label")) & (shared >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may)
+    return both.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
 
 
 def _verifier():
@@ -223,19 +228,36 @@ def _verifier():
     return linked
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs whose texts align well enough. Only texts of pairs are moved, once per different text."""
-    pairs = materialize(pairs, "dup-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """node and text of the nodes that have candidates; copies of a text move as one row per task."""
+    wanted = buckets.select("node").distinct()
     text = docs.select(node_of(whole_text()).alias("node"), plain(whole_text()).alias("text"))
-    # Copies of a text are dropped before the join where they meet, so a group of copies moves as one row per task.
-    texts = materialize(text.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "dup-texts")
+    return materialize(text.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "dup-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs whose texts align well enough."""
+    pairs = materialize(pairs, "dup-pairs")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return both.where(_verifier()("a", "b", "text_a", "text_b")).select("a", "b")
 
 
+def lone_kmers(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, lone: how many of its labelled k-mers no other of these nodes has. Rows only where there are some."""
+
+    @F.pandas_udf("array<bigint>")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([kmers([t])[0].view(np.int64) for t in texts])
+
+    some = texts.join(rows.select("node").distinct(), "node", "left_semi")
+    each = some.select("node", F.explode(digests("text")).alias("kmer"))
+    lone = each.groupBy("kmer").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return lone.groupBy("node").agg(F.count("*").alias("lone"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links connect to it. Rows only for nodes with links.
 
@@ -263,7 +285,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes_of(docs)
     buckets = buckets_of(nodes)
     large = buckets.where(F.col("held") > SMALL)
-    links = materialize(verified(small_pairs(buckets), docs), "dup-links")
+    texts = texts_of(docs, buckets)
+    links = materialize(verified(small_pairs(buckets), texts), "dup-links")
     labels = components(links)
     if large.limit(1).count():
         weight = large.groupBy("node").agg(F.sum("held").alias("weight"))
@@ -278,14 +301,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             # Nodes outside the main class that have not been compared with all of their bucket.
             open_rows = rows if done is None else rows.where("label != main").join(done, ["key", "node"], "left_anti")
             if turn < PIVOTS:
-                open_rows = open_rows.groupBy("key").agg(first).select("key", "p.*")
-            pivots = open_rows.select("key", *[F.col(c).alias(p) for c, p in (("node", "pivot"), ("size", "pivot_size"), ("label", "pivot_label"))])
-            pivots = materialize(pivots, "dup-pivots")
+                rows = rows.withColumn("lone", F.lit(0))
+                pivots = open_rows.groupBy("key").agg(first).select("key", "p.*").withColumn("lone", F.lit(0))
+            else:
+                lone = materialize(lone_kmers(rows, texts), "dup-lone")
+                at_least = F.coalesce("lone", F.lit(0))
+                rows = rows.join(lone, "node", "left").withColumn("lone", at_least)
+                # With so many k-mers of its own a node is similar to none.
+                pivots = open_rows.join(lone, "node", "left").withColumn("lone", at_least)
+                pivots = pivots.where(F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9)
+            pivots = materialize(pivots.select("key", "node", "size", "label", "lone"), "dup-pivots")
             if not pivots.limit(1).count():
                 break
-            links = materialize(links.union(verified(pivot_pairs(rows, pivots), docs)), "dup-links")
+            links = materialize(links.union(verified(pivot_pairs(rows, pivots), texts)), "dup-links")
             labels = components(links)
-            was = pivots.select("key", F.col("pivot").alias("node"))
+            was = pivots.select("key", "node")
             done = materialize(was if done is None else done.union(was), "dup-done")
     return nodes, labels
 
