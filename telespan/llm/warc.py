@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from telespan.llm.base import query, table, whole_text
-from telespan.scratch import scratch_path
+from telespan.scratch import materialize, scratch_path
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -51,9 +51,10 @@ def sha1_base32(value: Column) -> Column:
 def record_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, payload, its size and digest, record_type and refers_to.
 
-    Only payloads found more than once are looked up, so pages stay where they
-    are while those are few, and a payload of a third of all pages meets its one
-    row in a join whose skewed side Spark can split.
+    Only payloads found more than once are looked up. Their table is written
+    first, so that its size is known and pages stay where they are while it is
+    small; else a payload of a third of all pages meets its one row in a join
+    whose skewed side Spark can split.
     """
     rows = pages.select(
         "page_id", "url", whole_text("html").alias("payload"), sha1_base32(whole_text("html")).alias("payload_digest")
@@ -66,6 +67,7 @@ def record_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         .drop("n")
     )
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    firsts = materialize(firsts, "warc-firsts")
     return rows.join(firsts, "payload_digest", "left").select(
         *rows.columns,
         F.when(again, "revisit").otherwise("response").alias("record_type"),
