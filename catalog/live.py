@@ -53,7 +53,8 @@ def _(spark, sf):
 @query(
     "st02_streaming_counter_rates",
     """WITH m AS (SELECT 'n' || (user_id % 16) AS node, ts, CASE WHEN event_id % 7 BETWEEN 1 AND 5 THEN CAST(floor(value * 1000) AS BIGINT) + CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE 0 END AS total FROM events)
-SELECT node, CAST(epoch_us(ts) AS BIGINT) AS ts_us, CAST(greatest(0, total - coalesce(lag(total) OVER (PARTITION BY node ORDER BY ts), total)) AS BIGINT) AS delta FROM m""",
+SELECT node, CAST(epoch_us(ts) AS BIGINT) AS ts_us, CAST(greatest(0, total - coalesce(lag(total) OVER (PARTITION BY node ORDER BY ts), total)) AS BIGINT) AS delta FROM m
+WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)""",
 )
 def _(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
@@ -86,7 +87,8 @@ def _(spark, sf):
 @query(
     "st04_streaming_persistence",
     f"""WITH {USER_FLOWS}{BINS}, p AS (SELECT *, coalesce(lag(traffic_mbps) OVER w, traffic_mbps) AS predicted, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY series_id ORDER BY ts))
-SELECT series_id, {EPOCH} AS timestamp, round(predicted, 8) AS predicted, n, round(avg(abs(traffic_mbps - predicted)) OVER (PARTITION BY series_id ORDER BY ts), 8) AS running_mae FROM p""",
+SELECT series_id, {EPOCH} AS timestamp, round(predicted, 8) AS predicted, n, round(avg(abs(traffic_mbps - predicted)) OVER (PARTITION BY series_id ORDER BY ts), 8) AS running_mae FROM p
+WHERE ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM b)""",
 )
 def _(spark, sf):
     """The stream reads a folder of telemetry, as an ingestion stream would write it."""
@@ -100,11 +102,38 @@ def _(spark, sf):
     )
 
 
-@query("st05_policy_refresh", "SELECT event_type AS candidate_id, round(avg(value), 8) AS mean_quality, count(*) AS attempts FROM events GROUP BY 1")
-def _(spark, sf):
+RECORDS = """WITH r AS (SELECT event_id AS seq, event_type AS candidate_id, 'f' || (user_id % 23) AS data_fingerprint,
+  CASE user_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS volatility, value AS quality_pct FROM events)"""
+
+
+def refreshed(spark, sf):
+    """The folder of partial policies of a stream of records."""
     records = table(_Streamed(spark, sf), sf, "events").select(
-        F.col("event_id").alias("seq"), F.col("event_type").alias("candidate_id"), F.col("value").alias("quality_pct")
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("candidate_id"),
+        F.concat(F.lit("f"), (F.col("user_id") % 23).cast("string")).alias("data_fingerprint"),
+        F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), (F.col("user_id") % 3 + 1).cast("int")).alias("volatility"),
+        F.col("value").alias("quality_pct"),
     )
     partials = scratch_path(spark, "partials")
     live.refresh_policy(records, scratch_path(spark, "log"), partials, scratch_path(spark, "policy-checkpoint")).awaitTermination()
-    return r8(live.current_policy(spark, partials))
+    return partials
+
+
+@query("st05_policy_refresh", RECORDS + "SELECT candidate_id, round(avg(quality_pct), 8) AS mean_quality, count(*) AS attempts FROM r GROUP BY 1")
+def _(spark, sf):
+    return r8(live.current_policy(spark, refreshed(spark, sf)))
+
+
+def group_sql(by):
+    return RECORDS + f"SELECT {by}, arg_max(candidate_id, {{q: quality_pct, s: -seq}}) AS best_candidate, round(avg(quality_pct), 8) AS mean_quality, count(*) AS count FROM r GROUP BY 1"
+
+
+@query("st05_fingerprint_refresh", group_sql("data_fingerprint"))
+def _(spark, sf):
+    return r8(live.current_group_policy(spark, refreshed(spark, sf), "data_fingerprint"))
+
+
+@query("st05_volatility_refresh", group_sql("volatility"))
+def _(spark, sf):
+    return r8(live.current_group_policy(spark, refreshed(spark, sf), "volatility"))

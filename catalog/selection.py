@@ -11,7 +11,7 @@ from telespan.operators import forecasts as C
 from telespan.operators import policy as P
 from telespan.operators import profile as F2
 from telespan.plans import evaluate as V
-from telespan.scratch import scratch_path
+from telespan.scratch import materialize, scratch_path
 from telespan.sources import runs, writers
 
 PROFILES = """, prof_rows AS (
@@ -92,7 +92,9 @@ def experience(spark, sf, rows, profiles):
 def context(spark, sf):
     rows = links(spark, sf)
     profiles = fingerprints(spark, sf, rows)
-    return rows, profiles, experience(spark, sf, rows, profiles)
+    # The log is a table that many readers share, as an append log is.
+    profiles = materialize(profiles, "profiles")
+    return rows, profiles, materialize(experience(spark, sf, rows, profiles), "experience")
 
 
 @query("a32_candidate_policy", LOG + POLICY + "SELECT candidate_id, round(mean_quality, 6) AS mean_quality, attempts FROM by_c")

@@ -9,6 +9,7 @@ last rows of the chunk before it (the halo), so results equal the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -18,6 +19,18 @@ CHUNK_ROWS = 200_000
 _POSITION_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Of all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.typeName()])
+
+
+def same_keys(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null, so rows without a key are not lost."""
+    renamed = table.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return rows.join(renamed, reduce(lambda a, b: a & b, same), how).drop(*[f"_of_{c}" for c in on])
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str] = ("series_id",),
@@ -26,16 +39,19 @@ def index_rows(
 ) -> DataFrame:
     """T-01: total order per key; adds 0-based ``row_idx`` and ``n_rows``.
 
-    ``order`` must be unique within a key. Range partitioning splits a hot key
-    over many tasks. The sorted rows are written once with their partition and
-    position, because a second evaluation of the sampled ranges could differ.
+    Rows that tie in ``order`` are put in the order of a hash of all their
+    columns, so a rerun numbers them alike. A null key is a key like any other.
+    Range partitioning splits a hot key over many tasks. The sorted rows are
+    written once with their partition and position, because a second evaluation
+    of the sampled ranges could differ.
     The span table has one row per (key, partition holding it): at most
     ``#keys + #partitions`` rows, because ranges keep a key contiguous.
     """
     keys, order = list(keys), list(order)
+    tie = row_hash(df)
     placed = (
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
+        df.repartitionByRange(*keys, *order, tie)
+        .sortWithinPartitions(*keys, *order, tie)
         .select(
             "*",
             F.spark_partition_id().alias("_part"),
@@ -55,7 +71,7 @@ def index_rows(
             F.sum("_n").over(by_key).alias("n_rows"),
         )
     )
-    return stored.join(spans, [*keys, "_part"]).select(
+    return same_keys(stored, spans, [*keys, "_part"]).select(
         *df.columns, (F.col("_pos") + F.col("_shift")).alias("row_idx"), "n_rows"
     )
 
@@ -81,7 +97,7 @@ def lookup(
     by = [salt_by] if isinstance(salt_by, str) else list(salt_by)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return same_keys(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
 def rebase(df: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -155,12 +155,12 @@ def rank_candidates(table: DataFrame, records: DataFrame, attempts: DataFrame |
     )
     # One record is counted under one fingerprint, so the counts sum to the log size.
     total = records.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("_total"))
-    # Broadcast: one row per candidate (eight), per volatility class (three), and a single total.
+    # Only the single total is broadcast; how many ids and classes a log holds is not known.
     rows = untried(table, attempts) if attempts is not None else table
     joined = (
-        rows.join(F.broadcast(per_candidate), "candidate_id", "left")
+        rows.join(per_candidate, "candidate_id", "left")
         .join(fp, "data_fingerprint", "left")
-        .join(F.broadcast(vol), "volatility", "left")
+        .join(vol, "volatility", "left")
         .withColumn("_one", F.lit(1))
         .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
     )
@@ -189,7 +189,7 @@ def ucb1(table: DataFrame, records: DataFrame) -> DataFrame:
         F.col("attempts") > 0,
         normalize_quality(F.col("mean_quality")) + F.sqrt(2.0 * F.log("_total") / F.col("attempts")),
     )
-    joined = table.join(F.broadcast(stats.join(F.broadcast(total), "_one").drop("_one")), "candidate_id", "left")
+    joined = table.join(stats.join(F.broadcast(total), "_one").drop("_one"), "candidate_id", "left")
     choice = F.struct(
         F.col("attempts").isNull(),
         F.when(F.col("attempts").isNotNull(), F.round(bound, 9)).otherwise(F.lit(0.0)),

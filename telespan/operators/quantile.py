@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from telespan.operators.layout import lookup
+from telespan.operators.layout import lookup, row_hash
 
 SKETCH_ACCURACY = 10_000
 _MARGIN = 5.0 / SKETCH_ACCURACY
@@ -33,7 +33,9 @@ def exact_quantile(
     """
     keys = list(keys)
     position = [c for c in ("row_idx", "tail_idx", "tie") if c in df.columns and c not in keys][:1]
-    data = df.select(*keys, *[F.col(c).alias("_at") for c in position], F.col(value).alias("_v"))
+    # Salted by position or else by the whole row: equal values alone may be most of the table.
+    at = F.col(position[0]) if position else row_hash(df)
+    data = df.select(*keys, at.alias("_at"), F.col(value).alias("_v"))
     data = data.filter(F.col("_v").isNotNull())
     sketch = data.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
@@ -49,7 +51,7 @@ def exact_quantile(
         F.when(F.lit(q + _MARGIN >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
         "_max",
     )
-    placed = lookup(data, bounds, keys, salt_by="_at" if position else "_v")
+    placed = lookup(data, bounds, keys, salt_by="_at")
     width = F.col("_hi") - F.col("_lo")
     slice_no = (
         F.when(F.col("_v") < F.col("_lo"), F.lit(-1))

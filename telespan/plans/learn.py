@@ -65,7 +65,9 @@ def feature_table(rows: DataFrame, look_back: int, train_split: float = 0.8) ->
     shifted = built.withColumns(
         {"row_idx": F.col("row_idx") - look_back, "n_rows": F.col("n_rows") - look_back}
     ).filter(F.col("n_rows") >= 2)
-    return materialize(C.label_splits(shifted, *C.tabular_bounds(F.col("n_rows"), train_split)), "features")
+    val, test = C.tabular_bounds(F.col("n_rows"), train_split)
+    labelled = C.label_splits(shifted, val, test).withColumns({"val_start": val, "test_start": test})
+    return materialize(labelled, "features")
 
 
 def _weighted(df: DataFrame, multipliers: dict[str, float] | None, spike_weight: float) -> DataFrame:
@@ -126,8 +128,7 @@ def predict(fitted: Fitted, split: str | None = None) -> DataFrame:
 
 def forecasts(fitted: Fitted, split: str = "test", method: str = "Model") -> DataFrame:
     """Forecasts in the long table; positions start at the first row of the split."""
-    val, test = C.tabular_bounds(F.col("n_rows"))
-    start = {"train": F.lit(0), "validation": val, "test": test}[split]
+    start = {"train": F.lit(0), "validation": F.col("val_start"), "test": F.col("test_start")}[split]
     entries = F.array(
         *[
             F.struct(F.lit(m).alias("metric"), F.col(m).alias("actual"), F.col(f"predicted_{m}").alias("predicted"))
@@ -145,7 +146,9 @@ def staged_losses(fitted: Fitted) -> DataFrame:
     assembled = VectorAssembler(inputCols=fitted.features, outputCol="features").transform(rows)
     spreads = rows.agg(*[F.greatest(F.var_pop(m), F.lit(1e-18)).alias(m) for m in METRICS]).first()
     curves = {m: list(fitted.models[m].evaluateEachIteration(assembled, "squared")) for m in METRICS}
-    stages = min(len(c) for c in curves.values())
+    # Boosting stops at its own number of trees for each metric; a shorter curve goes on at its last value.
+    stages = max(len(c) for c in curves.values())
+    curves = {m: c + c[-1:] * (stages - len(c)) for m, c in curves.items()}
     losses = [
         (
             k + 1,
@@ -191,8 +194,7 @@ def fit_fused(
     The first learner is fit on the older half of the train part and the second
     on the newer half, so no row is forecast by a model that saw it.
     """
-    val, _ = C.tabular_bounds(F.col("n_rows"))
-    older = F.col("row_idx") < F.floor(val / 2)
+    older = F.col("row_idx") < F.floor(F.col("val_start") / 2)
     first_fit = fit(
         table.filter(older & (F.col("split") == "train")), first, look_back, **(first_params or {})
     )

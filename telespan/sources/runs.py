@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from telespan.model import EXPERIENCE_SCHEMA, RUN_SUMMARY_SCHEMA
 from telespan.operators.layout import lookup
 
 
 def read_experience(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-09: one record per line; blank and unreadable lines are skipped."""
-    return spark.read.schema(EXPERIENCE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """SRC-09: one record per line; blank lines are skipped, unreadable ones are in :func:`rejected_experience`."""
+    return _experience_lines(spark, path).where("record._bad IS NULL").select("record.*").drop("_bad")
+
+
+def rejected_experience(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-09: file and text of the lines that are no records."""
+    return _experience_lines(spark, path).where("record._bad IS NOT NULL").select("file", "line")
+
+
+def _experience_lines(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*EXPERIENCE_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    return lines.where(F.trim("line") != "").withColumn("record", F.from_json("line", schema, options))
 
 
 def read_run_summaries(spark: SparkSession, glob: str) -> DataFrame:

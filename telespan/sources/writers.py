@@ -9,10 +9,13 @@ from telespan.scratch import scratch_path
 
 
 def write_partitioned(df: DataFrame, by: list[str], label: str, path: str | None = None) -> DataFrame:
-    """SNK-01: one folder per run and split, so readers prune; returns the written table."""
+    """SNK-01: one folder per run and split, so readers prune; returns the written table.
+
+    Writing a run again replaces its folders and leaves the others.
+    """
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.mode("append").partitionBy(*by).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

@@ -47,33 +47,73 @@ def flow_bins(flows: DataFrame, minutes: int, delay: str = "10 minutes", key: st
     )
 
 
-class CounterRates(StatefulProcessor):
-    """ST-02: last known total per node; a reset counts as 0."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in event-time order, whatever order they came in.
+
+    Rows wait in list state until the watermark has passed them, by a timer at
+    the earliest one, and are then handed on in order. So results do not depend
+    on how a stream is cut into micro-batches. Rows later than the watermark
+    are dropped by Spark, and the last rows wait until the watermark moves on.
+    """
+
+    time, value, kind = "ts", "value", "double"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "total long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"us long, value {self.kind}")
+
+    def step(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One sample per node and time; a micro-batch is bounded by the source.
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        totals = batch["total"]
-        before = totals.shift(1)
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
+        batch = pd.concat(list(rows))
+        us = batch[self.time].to_numpy().astype("datetime64[us]").astype("int64")
+        yield from self._release(key, list(zip(us.tolist(), batch[self.value].tolist())), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, [], timerValues)
+
+    def _release(self, key, new: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
+        passed = timer_values.getCurrentWatermarkInMs() * 1000
+        held = sorted([*(tuple(x) for x in self.waiting.get()), *new])
+        ready = [x for x in held if x[0] < passed]
+        held = held[len(ready) :]
+        if held:
+            self.waiting.put(held)
+            self.handle.registerTimer(held[0][0] // 1000 + 1)
         else:
-            before.iloc[0] = totals.iloc[0]
-        self.last.update((int(totals.iloc[-1]),))
-        delta = (totals - before).clip(lower=0).astype("int64")
-        yield pd.DataFrame({"node": key[0], "ts": batch["ts"].to_numpy(), "delta": delta.to_numpy()})
+            self.waiting.clear()
+        if ready:
+            times = pd.Series(pd.to_datetime([x[0] for x in ready], unit="us"))
+            yield self.step(key, times, pd.Series([x[1] for x in ready]))
 
     def close(self) -> None:
         pass
 
 
-def counter_rates(samples: DataFrame) -> DataFrame:
+class CounterRates(InOrder):
+    """ST-02: last known total per node; a reset counts as 0."""
+
+    time, value, kind = "ts", "total", "long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "total long")
+
+    def step(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
+        before = values.shift(1)
+        before.iloc[0] = self.last.get()[0] if self.last.exists() else values.iloc[0]
+        self.last.update((int(values.iloc[-1]),))
+        delta = (values - before).clip(lower=0).astype("int64")
+        return pd.DataFrame({"node": key[0], "ts": times, "delta": delta})
+
+
+def counter_rates(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """ST-02: ``samples`` has one total per node and sample time."""
-    return samples.groupBy("node").transformWithStateInPandas(
-        CounterRates(), "node string, ts timestamp, delta long", "Append", "None"
+    return (
+        samples.withWatermark("ts", delay)
+        .groupBy("node")
+        .transformWithStateInPandas(CounterRates(), "node string, ts timestamp, delta long", "Append", "EventTime")
     )
 
 
@@ -91,45 +131,38 @@ def spike_alerts(telemetry: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
-class RunningError(StatefulProcessor):
+class RunningError(InOrder):
     """ST-04: last value, rows and summed absolute persistence error per series."""
 
+    time, value, kind = "timestamp", "traffic_mbps", "double"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("state", "value double, n long, total double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("timestamp", kind="stable")
-        values = batch["traffic_mbps"]
+    def step(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
         value, n, total = self.state.get() if self.state.exists() else (float(values.iloc[0]), 0, 0.0)
         predicted = values.shift(1)
         predicted.iloc[0] = value
         errors = (values - predicted).abs().cumsum() + total
         counts = pd.Series(range(n + 1, n + len(values) + 1), index=values.index)
         self.state.update((float(values.iloc[-1]), int(n + len(values)), float(errors.iloc[-1])))
-        yield pd.DataFrame(
-            {
-                "series_id": key[0],
-                "timestamp": batch["timestamp"].to_numpy(),
-                "predicted": predicted.to_numpy(),
-                "n": counts.to_numpy(),
-                "running_mae": (errors / counts).to_numpy(),
-            }
+        return pd.DataFrame(
+            {"series_id": key[0], "timestamp": times, "predicted": predicted, "n": counts, "running_mae": errors / counts}
         )
 
-    def close(self) -> None:
-        pass
 
-
-def running_persistence(telemetry: DataFrame) -> DataFrame:
+def running_persistence(telemetry: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """ST-04"""
     return (
         telemetry.select("series_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "traffic_mbps")
+        .withWatermark("timestamp", delay)
         .groupBy("series_id")
         .transformWithStateInPandas(
             RunningError(),
             "series_id string, timestamp timestamp, predicted double, n long, running_mae double",
             "Append",
-            "None",
+            "EventTime",
         )
     )
 
@@ -145,20 +178,31 @@ def append_telemetry(stream: DataFrame, path: str, checkpoint: str, form: str =
     )
 
 
+POLICY_KINDS = {"candidate": "candidate_id", "fingerprint": "data_fingerprint", "volatility": "volatility"}
+_PARTIAL = "kind string, name string, total double, n long, best struct<quality:double,older:long,candidate_id:string>"
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "name").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 def refresh_policy(experience: DataFrame, log: str, partials: str, checkpoint: str):
-    """ST-05: append records and keep policy sums per micro-batch.
+    """ST-05: append records and keep policy sums per micro-batch: by candidate, fingerprint and volatility.
 
     Both folders are written per batch number, so a repeated batch replaces
-    itself. The policy is the sum over the small partial tables, so the log is
-    never read again.
+    itself; sums are taken from the written log. The policy is the sum over the
+    small partial tables, so the log is never read again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.write.mode("overwrite").json(f"{log}/batch={number}")
-        sums = batch.groupBy("candidate_id").agg(F.sum("quality_pct").alias("total"), F.count(F.lit(1)).alias("n"))
-        sums.write.mode("overwrite").parquet(f"{partials}/batch={number}")
-        batch.unpersist()
+        path = f"{log}/batch={number}"
+        batch.write.mode("overwrite").json(path)
+        written = batch.sparkSession.read.schema(batch.schema).json(path)
+        # Highest quality, and of equal ones the oldest.
+        best = F.struct(F.col("quality_pct").alias("quality"), (-F.col("seq")).alias("older"), "candidate_id")
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in POLICY_KINDS.items()])
+        rows = written.select(F.inline(kinds), F.col("quality_pct").alias("total"), F.lit(1).alias("n"), best.alias("best"))
+        _merged(rows).write.mode("overwrite").parquet(f"{partials}/batch={number}")
 
     return (
         experience.writeStream.foreachBatch(write)
@@ -168,8 +212,21 @@ def refresh_policy(experience: DataFrame, log: str, partials: str, checkpoint: s
     )
 
 
+def _policy(spark: SparkSession, partials: str, kind: str) -> DataFrame:
+    rows = spark.read.schema(_PARTIAL).parquet(f"{partials}/batch=*").where(F.col("kind") == kind)
+    return _merged(rows).withColumn("mean_quality", F.col("total") / F.col("n"))
+
+
 def current_policy(spark: SparkSession, partials: str) -> DataFrame:
-    rows = spark.read.schema("candidate_id string, total double, n long").parquet(f"{partials}/batch=*")
-    return rows.groupBy("candidate_id").agg(
-        (F.sum("total") / F.sum("n")).alias("mean_quality"), F.sum("n").alias("attempts")
+    """As :func:`telespan.operators.policy.candidate_policy` over all records so far."""
+    return _policy(spark, partials, "candidate").select(
+        F.col("name").alias("candidate_id"), "mean_quality", F.col("n").alias("attempts")
+    )
+
+
+def current_group_policy(spark: SparkSession, partials: str, by: str) -> DataFrame:
+    """As :func:`telespan.operators.policy.group_policy`, by ``data_fingerprint`` or ``volatility``."""
+    kind = {c: k for k, c in POLICY_KINDS.items()}[by]
+    return _policy(spark, partials, kind).select(
+        F.col("name").alias(by), F.col("best.candidate_id").alias("best_candidate"), "mean_quality", F.col("n").alias("count")
     )
