@@ -10,11 +10,10 @@ must be at least 0.8. A class is what such links connect.
 
 Equal texts are one node from the start, however many there are. In a bucket
 (one function's value) of at most ``SMALL`` nodes all pairs are candidates. In a
-larger one the nodes are compared with a pivot, the node found in the most and
-largest buckets, which is the original where there is one. After ``PIVOTS``
-rounds of one pivot a bucket, the nodes left outside the class of its first
-pivot are compared with all its nodes in other classes, but for pairs that
-cannot be similar: k-mers that no other node of these buckets has are aligned
+larger one all nodes are compared with its pivot, the node found in the most
+and largest buckets, which is the original where there is one. Then the nodes
+left outside the pivot's class are compared with all nodes of the bucket in
+other classes, but for pairs that cannot be similar: k-mers that no other node of these buckets has are aligned
 with nothing, which bounds what a pair can reach. So no pair of different
 classes that may be similar goes untested, and no group is collected.
 
@@ -44,7 +43,6 @@ FUNCTIONS = 24
 TAKEN = 3  # labelled k-mers per function
 SIMILAR = 0.8
 SMALL = 24
-PIVOTS = 2
 KEPT_TEXTS = 200  # prepared texts a task keeps
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -286,37 +284,27 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = buckets_of(nodes)
     large = buckets.where(F.col("held") > SMALL)
     texts = texts_of(docs, buckets)
-    links = materialize(verified(small_pairs(buckets), texts), "dup-links")
+    weight = large.groupBy("node").agg(F.sum("held").alias("weight"))
+    large = materialize(large.join(weight, "node"), "dup-large")
+    best = F.max(F.struct("weight", "node", "size")).alias("p")
+    pivots = materialize(large.groupBy("key").agg(best).select("key", "p.node", "p.size"), "dup-pivots")
+    as_own = lambda rows: rows.withColumn("label", F.col("node")).withColumn("lone", F.lit(0))
+    pairs = small_pairs(buckets).union(pivot_pairs(as_own(large), as_own(pivots))).distinct()
+    links = materialize(verified(pairs, texts), "dup-links")
     labels = components(links)
-    if large.limit(1).count():
-        weight = large.groupBy("node").agg(F.sum("held").alias("weight"))
-        large = materialize(large.join(weight, "node"), "dup-large")
-        done = None
-        for turn in range(PIVOTS + 1):
-            rows = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            rows = materialize(rows, "dup-open")
-            first = F.max(F.struct("weight", "node", "size", "label")).alias("p")
-            split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).where("low != high")
-            rows = rows.join(split.select("key", F.col("p.label").alias("main")), "key")
-            # Nodes outside the main class that have not been compared with all of their bucket.
-            open_rows = rows if done is None else rows.where("label != main").join(done, ["key", "node"], "left_anti")
-            if turn < PIVOTS:
-                rows = rows.withColumn("lone", F.lit(0))
-                pivots = open_rows.groupBy("key").agg(first).select("key", "p.*").withColumn("lone", F.lit(0))
-            else:
-                lone = materialize(lone_kmers(rows, texts), "dup-lone")
-                at_least = F.coalesce("lone", F.lit(0))
-                rows = rows.join(lone, "node", "left").withColumn("lone", at_least)
-                # With so many k-mers of its own a node is similar to none.
-                pivots = open_rows.join(lone, "node", "left").withColumn("lone", at_least)
-                pivots = pivots.where(F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9)
-            pivots = materialize(pivots.select("key", "node", "size", "label", "lone"), "dup-pivots")
-            if not pivots.limit(1).count():
-                break
-            links = materialize(links.union(verified(pivot_pairs(rows, pivots), texts)), "dup-links")
-            labels = components(links)
-            was = pivots.select("key", "node")
-            done = materialize(was if done is None else done.union(was), "dup-done")
+    rows = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = materialize(rows, "dup-open")
+    first = F.max_by("label", F.struct("weight", "node")).alias("main")
+    split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).where("low != high")
+    rows = rows.join(split.select("key", "main"), "key")
+    lone = materialize(lone_kmers(rows, texts), "dup-lone")
+    rows = rows.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    # Nodes outside the pivot's class. With so many k-mers of its own a node is similar to none.
+    rest = rows.where((F.col("label") != F.col("main")) & (F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9))
+    rest = materialize(rest.select("key", "node", "size", "label", "lone"), "dup-rest")
+    if rest.limit(1).count():
+        links = materialize(links.union(verified(pivot_pairs(rows, rest), texts)), "dup-links")
+        labels = components(links)
     return nodes, labels
 
 
