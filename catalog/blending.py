@@ -13,6 +13,7 @@ from telespan.operators import forecasts as C
 from telespan.plans import blend as LP
 from telespan.plans import evaluate as V
 from telespan.plans import forecast as FP
+from telespan.scratch import materialize
 
 METHODS = ["Persistence", "Moving Average", "Seasonal Naive"]
 
@@ -38,12 +39,29 @@ w7 AS (SELECT series_id, metric, any_value(sd) AS sd, arg_max(g, (round(score, 9
 c7 AS (SELECT series_id, metric, (85 + 5 * (g // 30)) / 100.0::DOUBLE AS scale, ((g // 6) % 5 - 2) * 0.05::DOUBLE * sd AS bias, (g % 6) / 10.0::DOUBLE AS persistence_weight FROM w7)"""
 
 
-def side(forecasts):
-    return LP.side_by_side(forecasts, {"first": "Moving Average", "second": "Seasonal Naive", "persistence": "Persistence"})
+BLENDED = ", {b} AS (SELECT v.*, first_weight * first + (1.0 - first_weight) * second AS predicted FROM {side} v JOIN w5 USING (series_id, metric))"
+MIXED = ", {m} AS (SELECT v.* REPLACE (persistence_weight * persistence + (1.0 - persistence_weight) * predicted AS predicted) FROM {b} v JOIN w6 USING (series_id, metric))"
+SCALED = ", {c} AS (SELECT v.* REPLACE (greatest(0, (scale * predicted + bias + persistence_weight * persistence) / (1 + persistence_weight)) AS predicted) FROM {m} v JOIN c7 USING (series_id, metric))"
+# Each step is tuned on the validation part as the step before left it.
+IN_ORDER = (
+    BOTH + M05 + BLENDED.format(b="vb", side="vside") + M06.replace("vside", "vb").replace("* first", "* predicted")
+    + BLENDED.format(b="tb", side="side") + MIXED.format(m="vm", b="vb") + MIXED.format(m="tm", b="tb")
+)
+CHAIN = (
+    M07.replace("vside", "vm").replace("* first", "* predicted") + SCALED.format(c="vc", m="vm") + SCALED.format(c="tc", m="tm")
+    + ", vs AS (SELECT series_id, metric, stddev_pop(actual - predicted) AS sd FROM vc GROUP BY ALL)"
+)
+
+
+NAMES = {"first": "Moving Average", "second": "Seasonal Naive", "persistence": "Persistence"}
+
+
+def side(columns):
+    return LP.columns_side_by_side(columns, NAMES)
 
 
 def validation(rows):
-    return side(V.validation_forecasts(rows))
+    return side(V.validation_columns(rows))
 
 
 @query("m05_j10_two_learner_weights", BOTH + M05 + "SELECT series_id, metric, round(first_weight, 8) AS first_weight, round(1.0::DOUBLE - first_weight, 8) AS second_weight FROM w5")
@@ -73,29 +91,34 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows, params = calibrated(spark, sf)
-    out = L.apply_calibration(side(V.test_forecasts(rows)).withColumnRenamed("first", "predicted"), params)
+    out = L.apply_calibration(side(V.test_columns(rows)).withColumnRenamed("first", "predicted"), params)
     return r8(out.select("series_id", "metric", "row_idx", "predicted"))
 
 
 @query(
     "m14_blended_forecasts",
-    BOTH + M05 + M06 + """SELECT series_id, metric, row_idx, round(greatest(0, persistence_weight * persistence + (1.0 - persistence_weight) * (first_weight * first + (1.0 - first_weight) * second)), 8) AS predicted
-FROM side JOIN w5 USING (series_id, metric) JOIN w6 USING (series_id, metric)""",
+    IN_ORDER + "SELECT series_id, metric, row_idx, round(greatest(0, predicted), 8) AS predicted FROM tm",
 )
 def _(spark, sf):
+    """Persistence is weighed against the blend it is mixed with."""
     rows = links(spark, sf)
     val = validation(rows)
-    blended = L.blend_two(side(V.test_forecasts(rows)), L.two_learner_weights(val))
-    out = L.mix_persistence(blended, L.persistence_weights(val.withColumnRenamed("first", "predicted")))
+    first = materialize(L.two_learner_weights(val), "w5")
+    second = L.persistence_weights(L.blend_two(val, first))
+    out = L.mix_persistence(L.blend_two(side(V.test_columns(rows)), first), second)
     return r8(out.select("series_id", "metric", "row_idx", "predicted"))
 
 
-@query("m05_m06_m07_tuned_chain")
+@query(
+    "m05_m06_m07_tuned_chain",
+    IN_ORDER + CHAIN + """SELECT series_id, metric, row_idx, round(actual, 8) AS actual, round(predicted, 8) AS predicted,
+  round(greatest(0, predicted - 1.96 * sd), 8) AS lower_95, round(predicted + 1.96 * sd, 8) AS upper_95 FROM tc JOIN vs USING (series_id, metric)""",
+)
 def _(spark, sf):
     """The whole chain in the order it is applied: each step is tuned on the output of the one before."""
     rows = links(spark, sf)
     thr = E.quantile_thresholds(C.split_train(rows))
-    return r8(LP.tune_and_apply(validation(rows), side(V.test_forecasts(rows)), thr))
+    return r8(LP.tune_and_apply(validation(rows), side(V.test_columns(rows)), thr))
 
 
 @query(
@@ -105,7 +128,7 @@ JOIN (VALUES ('traffic_mbps', 1.0::DOUBLE, 1.05::DOUBLE), ('latency_ms', 0.9, 1.
 )
 def _(spark, sf):
     rows = links(spark, sf)
-    fc = side(V.test_forecasts(rows)).withColumnRenamed("first", "predicted")
+    fc = side(V.test_columns(rows)).withColumnRenamed("first", "predicted")
     near = dict(zip(METRICS, (1.0, 0.9, 0.95)))
     lift = dict(zip(METRICS, (1.05, 1.01, 1.05)))
     out = L.lift_spikes(fc, E.quantile_thresholds(C.split_train(rows)), near, lift)

@@ -49,14 +49,14 @@ def raw_telemetry(spark, sf):
     "src01_telemetry_scan",
     f"""WITH {RAW},
 enough AS (SELECT series_id FROM usable GROUP BY 1 HAVING count(*) >= 390)
-SELECT series_id, {EPOCH} AS timestamp, l_orderkey, l_linenumber, traffic_mbps, CAST(hour(ts) AS INT) AS hour,
+SELECT series_id, {EPOCH} AS timestamp, l_orderkey, l_linenumber, traffic_mbps, latency_ms, packet_loss_pct, CAST(hour(ts) AS INT) AS hour,
        CAST(isodow(ts) - 1 AS INT) AS day_of_week, round(sin(2*pi()*hour(ts)/24), 8) AS hour_sin, round(cos(2*pi()*hour(ts)/24), 8) AS hour_cos,
        round(sin(2*pi()*(isodow(ts)-1)/7), 8) + 0.0 AS weekday_sin, round(cos(2*pi()*(isodow(ts)-1)/7), 8) AS weekday_cos
 FROM usable SEMI JOIN enough USING (series_id)""",
 )
 def _(spark, sf):
     out = telemetry.scan(raw_telemetry(spark, sf), min_rows=390)
-    return r8(stamped(out).drop("latency_ms", "packet_loss_pct"))
+    return r8(stamped(out))
 
 
 @query(
@@ -138,14 +138,14 @@ def _(spark, sf):
 @query(
     "a03_bits_and_clip",
     f"""WITH {LINK_FLOWS}
-SELECT series_id, {EPOCH} AS timestamp, round(traffic_mbps, 8) AS traffic_mbps, packet_loss_pct FROM (
-  SELECT series_id, date_trunc('hour', ts) AS ts, 8 * sum(rate) / 1e6 AS traffic_mbps,
+SELECT series_id, {EPOCH} AS timestamp, round(traffic_mbps, 8) AS traffic_mbps, round(latency_ms, 8) AS latency_ms, packet_loss_pct FROM (
+  SELECT series_id, date_trunc('hour', ts) AS ts, 8 * sum(rate) / 1e6 AS traffic_mbps, avg(duration) AS latency_ms,
          round(least(100, 100.0 * (count(*) FILTER (psh) + count(*) FILTER (rst)) / count(*)), 8) AS packet_loss_pct
   FROM link_flows GROUP BY ALL)""",
 )
 def _(spark, sf):
     out = flows.bin_flow_log(link_flows(spark, sf), 60, bits=True, clip_loss=True)
-    return r8(stamped(out).drop("latency_ms"))
+    return r8(stamped(out))
 
 
 @query(

@@ -222,25 +222,28 @@ def _(spark, sf):
 
 @query(
     "a30_residual_band",
-    FORECASTS + """, s AS (SELECT series_id, method, metric, stddev_pop(actual - predicted) AS sd FROM fc GROUP BY ALL)
+    FORECASTS + "," + forecast_ctes("val", "vfc") + """, s AS (SELECT series_id, method, metric, stddev_pop(actual - predicted) AS sd FROM vfc GROUP BY ALL)
 SELECT series_id, method, metric, row_idx, round(greatest(0, predicted - 1.96 * sd), 8) AS lower_95, round(predicted + 1.96 * sd, 8) AS upper_95 FROM fc JOIN s USING (series_id, method, metric)""",
 )
 def _(spark, sf):
-    fc = V.test_forecasts(links(spark, sf))
-    return r8(E.residual_band(fc, E.residual_std(fc)).select(*E.KEYS, "row_idx", "lower_95", "upper_95"))
+    """The band comes from validation errors, as it must be known before the test part."""
+    rows = links(spark, sf)
+    fc = V.test_forecasts(rows)
+    return r8(E.residual_band(fc, E.residual_std(V.validation_forecasts(rows))).select(*E.KEYS, "row_idx", "lower_95", "upper_95"))
 
 
 @query(
     "a31_band_width",
-    FORECASTS + f""", s AS (SELECT series_id, method, metric, stddev_pop(actual - predicted) AS sd FROM fc GROUP BY ALL),
+    FORECASTS + "," + forecast_ctes("val", "vfc") + f""", s AS (SELECT series_id, method, metric, stddev_pop(actual - predicted) AS sd FROM vfc GROUP BY ALL),
 b AS (SELECT series_id, method, metric, avg(predicted + 1.96 * sd - greatest(0, predicted - 1.96 * sd)) / 3.92 AS stored FROM fc JOIN s USING (series_id, method, metric) WHERE method = 'Persistence' GROUP BY ALL),
 f AS (SELECT series_id, method, metric, avg(abs(predicted)) * 0.1 AS fallback FROM fc GROUP BY ALL)
 SELECT series_id, method, metric, round(coalesce(stored, fallback), 8) AS residual_std FROM f LEFT JOIN b USING (series_id, method, metric)""",
 )
 def _(spark, sf):
-    fc = V.test_forecasts(links(spark, sf))
-    known = fc.filter(F.col("method") == "Persistence")
-    return r8(E.band_std(fc, E.residual_band(known, E.residual_std(known))))
+    rows = links(spark, sf)
+    fc = V.test_forecasts(rows)
+    spread = E.residual_std(V.validation_forecasts(rows, ["Persistence"]))
+    return r8(E.band_std(fc, E.residual_band(fc.filter(F.col("method") == "Persistence"), spread)))
 
 
 @query(

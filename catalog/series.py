@@ -89,11 +89,14 @@ def _(spark, sf):
 
 @query(
     "w06_w07_w08_baselines",
-    f"""WITH {LINKS} SELECT series_id, row_idx,
-  round(coalesce(lag(traffic_mbps) OVER w, traffic_mbps), 8) AS persistence,
-  round(coalesce(avg(traffic_mbps) OVER ({HISTORY} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), traffic_mbps), 8) AS moving_average,
-  round(coalesce(lag(traffic_mbps, 24) OVER w, lag(traffic_mbps) OVER w, traffic_mbps), 8) AS seasonal_naive
-FROM tele WINDOW w AS ({HISTORY})""",
+    f"WITH {LINKS} SELECT series_id, row_idx, "
+    + ", ".join(
+        f"""round(coalesce(lag({m}) OVER w, {m}), 8) AS {m}__persistence,
+  round(coalesce(avg({m}) OVER ({HISTORY} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), {m}), 8) AS {m}__moving_average,
+  round(coalesce(lag({m}, 24) OVER w, lag({m}) OVER w, {m}), 8) AS {m}__seasonal_naive"""
+        for m in METRICS
+    )
+    + f" FROM tele WINDOW w AS ({HISTORY})",
 )
 def _(spark, sf):
     wide = B.add_baselines(links(spark, sf))
@@ -101,7 +104,7 @@ def _(spark, sf):
         wide.select(
             "series_id",
             "row_idx",
-            *[F.col(f"traffic_mbps{B.suffix(m)}").alias(B.suffix(m)[2:]) for m in ("Persistence", "Moving Average", "Seasonal Naive")],
+            *[f"{m}{B.suffix(x)}" for m in METRICS for x in ("Persistence", "Moving Average", "Seasonal Naive")],
         )
     )
 
@@ -156,15 +159,16 @@ def _(spark, sf):
 
 @query(
     "w12_validation_persistence",
-    f"""WITH {SPLITS} SELECT t.series_id, round(avg(abs(traffic_mbps - p)), 8) AS mae FROM (
-  SELECT *, lag(traffic_mbps) OVER ({HISTORY}) AS p FROM tele) t JOIN bounds b USING (series_id) WHERE row_idx >= val_start AND row_idx < test_start GROUP BY 1""",
+    f"WITH {SPLITS} SELECT t.series_id, " + ", ".join(f"round(avg(abs({m} - p_{m})), 8) AS {m}" for m in METRICS)
+    + " FROM (SELECT *, " + ", ".join(f"lag({m}) OVER ({HISTORY}) AS p_{m}" for m in METRICS)
+    + " FROM tele) t JOIN bounds b USING (series_id) WHERE row_idx >= val_start AND row_idx < test_start GROUP BY 1",
 )
 def _(spark, sf):
     val, test = C.tabular_bounds(F.col("n_rows"))
     wide = B.add_baselines(links(spark, sf), ["Persistence"])
     rows = wide.filter((F.col("row_idx") >= val) & (F.col("row_idx") < test))
     return r8(
-        rows.groupBy("series_id").agg(F.avg(F.abs(F.col("traffic_mbps") - F.col("traffic_mbps__persistence"))).alias("mae"))
+        rows.groupBy("series_id").agg(*[F.avg(F.abs(F.col(m) - F.col(f"{m}__persistence"))).alias(m) for m in METRICS])
     )
 
 
@@ -214,14 +218,13 @@ def _(spark, sf):
 @query(
     "m01_window_scaler",
     f"""WITH {LINKS}, used AS (SELECT *, CAST(floor((n_rows - 12) * 0.7) AS BIGINT) AS k FROM tele),
-pairs AS (SELECT u.series_id, u.traffic_mbps AS v FROM used u JOIN (SELECT DISTINCT series_id, unnest(range(0, k)) AS s FROM used) q
-          ON u.series_id = q.series_id AND u.row_idx >= s AND u.row_idx < s + 12)
-SELECT series_id, count(*) AS weight, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS scale FROM pairs GROUP BY 1""",
+pairs AS (SELECT u.* FROM used u JOIN (SELECT DISTINCT series_id, unnest(range(0, k)) AS s FROM used) q
+          ON u.series_id = q.series_id AND u.row_idx >= s AND u.row_idx < s + 12), {melt('pairs', 'v', 'v')}
+SELECT series_id, metric, count(*) AS weight, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS scale FROM v GROUP BY ALL""",
 )
 def _(spark, sf):
     used = F.floor((F.col("n_rows") - 12) * F.lit(0.7))
-    out = X.window_scaler(links(spark, sf), 12, used).filter(F.col("metric") == "traffic_mbps")
-    return r8(out.select("series_id", "weight", "mean", "scale"))
+    return r8(X.window_scaler(links(spark, sf), 12, used).select("series_id", "metric", "weight", "mean", "scale"))
 
 
 @query(

@@ -42,8 +42,9 @@ def two_learner_weights(rows: DataFrame, steps: int = 41, q: float = 0.90) -> Da
     blended = w * F.col("first") + (1.0 - w) * F.col("second")
     scored = (
         grid.withColumn("_p", blended)
-        .groupBy(*BY, "_i", "_std")
+        .groupBy(*BY, "_i")
         .agg(
+            F.max("_std").alias("_std"),
             F.avg(F.abs(F.col("_p") - F.col("actual"))).alias("_mae"),
             *[c.alias(n) for n, c in _counts(F.col("_p"), F.col("threshold")).items()],
         )
@@ -66,27 +67,42 @@ def persistence_weights(rows: DataFrame) -> DataFrame:
 def calibration(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     """M-07: scale, bias and persistence weight with the best log-ratio quality.
 
-    7 x 5 x 6 points per row; ``rows`` has actual, predicted, persistence of the validation part.
+    7 x 5 x 6 points: a row is repeated for the 42 pairs of scale and weight, and the five biases are columns of one
+    aggregate. ``rows`` has actual, predicted, persistence of the validation part.
     """
     base = rows.groupBy(*BY).agg(
         F.greatest(F.stddev_pop("actual"), F.lit(1e-9)).alias("_std"),
         F.avg(F.abs(F.col("actual") - F.col("persistence"))).alias("_base"),
     )
     fixed = thresholds.select(*BY, "threshold").join(base, BY)
-    grid = lookup(rows, fixed, BY).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(209))))
-    scale = (85 + 5 * F.floor(F.col("_g") / 30)) / 100.0
-    bias = (F.floor(F.col("_g") / 6) % 5 - 2) * 0.05 * F.col("_std")
-    weight = (F.col("_g") % 6) / 10.0
-    predicted = (scale * F.col("predicted") + bias + weight * F.col("persistence")) / (1.0 + weight)
+    grid = lookup(rows, fixed, BY).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(41))))
+    scale_no, weight_no = F.floor(F.col("_c") / 6), F.col("_c") % 6
+    scaled = (85 + 5 * scale_no) / 100.0 * F.col("predicted")
+    share = weight_no / 10.0
+
+    def errors(k):
+        predicted = (scaled + (k - 2) * 0.05 * F.col("_std") + share * F.col("persistence")) / (1.0 + share)
+        counts = [c.alias(f"{n}{k}") for n, c in _counts(predicted, F.col("threshold")).items()]
+        return [F.avg(F.abs(F.col("actual") - predicted)).alias(f"_mae{k}"), *counts]
+
+    points = F.array(
+        *[
+            F.struct(
+                (scale_no * 30 + k * 6 + weight_no).alias("_g"),
+                *[F.col(f"{n}{k}").alias(n) for n in ("_mae", "tp", "fp", "fn")],
+            )
+            for k in range(5)
+        ]
+    )
     scored = (
-        grid.withColumn("_p", predicted)
-        .groupBy(*BY, "_g", "_std", "_base")
-        .agg(
-            F.avg(F.abs(F.col("actual") - F.col("_p"))).alias("_mae"),
-            *[c.alias(n) for n, c in _counts(F.col("_p"), F.col("threshold")).items()],
-        )
+        grid.groupBy(*BY, "_c")
+        .agg(F.max("_std").alias("_std"), F.max("_base").alias("_base"), *[e for k in range(5) for e in errors(k)])
+        .select(*BY, "_std", "_base", F.inline(points))
         .withColumns({"_f1": _f1(), "_a": F.col("tp") + F.col("fn"), "_n": F.col("tp") + F.col("fp")})
     )
+    scale = (85 + 5 * F.floor(F.col("_g") / 30)) / 100.0
+    bias = (F.floor(F.col("_g") / 6) % 5 - 2) * 0.05 * F.col("_std")
+    weight = (F.col("_g") % 6) / 10.0
     quality = Q.log_ratio_quality(
         F.col("_mae"), F.col("_base"), F.lit(0.0), F.col("_f1"), F.col("_a"), F.col("_n")
     )

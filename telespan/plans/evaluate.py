@@ -21,6 +21,15 @@ def test_forecasts(rows: DataFrame, methods: list[str] = NAIVE, linear: str | No
     return B.long_forecasts(wide, methods)
 
 
+def test_columns(rows: DataFrame, methods: list[str] = NAIVE) -> DataFrame:
+    """The test part with its forecasts as columns."""
+    return B.add_baselines(C.split_test(rows), methods)
+
+
+def validation_columns(rows: DataFrame, methods: list[str] = NAIVE) -> DataFrame:
+    return B.add_baselines(C.split_validation(rows), methods)
+
+
 def validation_forecasts(rows: DataFrame, methods: list[str] = NAIVE) -> DataFrame:
     return B.long_forecasts(B.add_baselines(C.split_validation(rows), methods), methods)
 
@@ -31,4 +40,4 @@ def score_naive(rows: DataFrame, q: float = 0.90) -> DataFrame:
     return E.score(test_forecasts(rows), thresholds)
 
 
-test_forecasts.__test__ = False
+test_forecasts.__test__ = test_columns.__test__ = False
