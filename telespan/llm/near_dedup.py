@@ -13,7 +13,8 @@ Equal texts are one node from the start, however many there are. In a bucket
 larger one all nodes are compared with its pivot, the node found in the most
 and largest buckets, which is the original where there is one. Then the nodes
 left outside the pivot's class are compared with all nodes of the bucket in
-other classes, but for pairs that cannot be similar: k-mers that no other node of these buckets has are aligned
+other classes, but for pairs that cannot be similar: what either shares with the
+pivot bounds what they share with each other (Jaccard distance is a metric), and k-mers that no other node of these buckets has are aligned
 with nothing, which bounds what a pair can reach. So no pair of different
 classes that may be similar goes untested, and no group is collected.
 
@@ -139,6 +140,12 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return found_similarity if found_similarity >= least - 1e-12 else 0.0
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared labelled k-mers over all different ones, in any order."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
@@ -200,13 +207,15 @@ def pivot_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     total = F.col("x.size") + F.col("y.size")
     shared = F.least(F.col("x.size") - F.col("x.lone"), F.col("y.size") - F.col("y.lone"))
     may = (F.col("x.label") != F.col("y.label")) & (shared >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
+    apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
+    may = may & (apart <= 1 - SIMILAR + 1e-9)
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may)
     return both.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
 
 
 def _verifier():
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<linked:boolean,overlap:double>")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
         def prepared(node, text):
@@ -220,10 +229,13 @@ def _verifier():
             return found
 
         for a, b, text_a, text_b in batches:
-            rows = zip(a, b, text_a, text_b)
-            yield pd.Series([similarity(prepared(bytes(i), s), prepared(bytes(j), t)) > 0 for i, j, s, t in rows])
+            rows = []
+            for i, j, s, t in zip(a, b, text_a, text_b):
+                x, y = prepared(bytes(i), s), prepared(bytes(j), t)
+                rows.append((similarity(x, y) > 0, overlap(x, y)))
+            yield pd.DataFrame(rows, columns=["linked", "overlap"])
 
-    return linked
+    return compared
 
 
 def texts_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -233,13 +245,13 @@ def texts_of(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     return materialize(text.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")), "dup-texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs whose texts align well enough."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs with linked (their texts align well enough) and overlap."""
     pairs = materialize(pairs, "dup-pairs")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
-    return both.where(_verifier()("a", "b", "text_a", "text_b")).select("a", "b")
+    return both.select("a", "b", _verifier()("a", "b", "text_a", "text_b").alias("c")).select("a", "b", "c.*")
 
 
 def lone_kmers(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,6 +290,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _distances(rows: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds near and far: bounds of each node's Jaccard distance from its bucket's pivot.
+
+    They are equal where the two were compared; where sizes alone ruled that
+    out, the sizes give the nearer bound.
+    """
+    of = pivots.select("key", F.col("node").alias("pivot"), F.col("size").alias("pivot_size"))
+    ends = rows.join(of, "key").withColumns(dict(zip("ab", [F.least("node", "pivot"), F.greatest("node", "pivot")])))
+    known = ends.join(seen.select("a", "b", "overlap"), ["a", "b"], "left")
+    itself = F.col("node") == F.col("pivot")
+    by_size = 1 - F.least("size", "pivot_size") / F.greatest("size", "pivot_size", F.lit(1))
+    exact = F.when(itself, 0.0).otherwise(1 - F.col("overlap"))
+    return known.withColumns({"near": F.coalesce(exact, by_size), "far": F.coalesce(exact, F.lit(1.0))}).select(
+        *rows.columns, "near", "far"
+    )
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes, and the label of each node that has links."""
     nodes = nodes_of(docs)
@@ -288,23 +317,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = materialize(large.join(weight, "node"), "dup-large")
     best = F.max(F.struct("weight", "node", "size")).alias("p")
     pivots = materialize(large.groupBy("key").agg(best).select("key", "p.node", "p.size"), "dup-pivots")
-    as_own = lambda rows: rows.withColumn("label", F.col("node")).withColumn("lone", F.lit(0))
+    free = {"label": F.col("node"), "lone": F.lit(0), "near": F.lit(0.0), "far": F.lit(1.0)}  # nothing known yet
+    as_own = lambda rows: rows.withColumns(free)
     pairs = small_pairs(buckets).union(pivot_pairs(as_own(large), as_own(pivots))).distinct()
-    links = materialize(verified(pairs, texts), "dup-links")
+    seen = materialize(compared(pairs, texts), "dup-compared")
+    links = seen.where("linked").select("a", "b")
     labels = components(links)
     rows = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = materialize(rows, "dup-open")
     first = F.max_by("label", F.struct("weight", "node")).alias("main")
     split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).where("low != high")
-    rows = rows.join(split.select("key", "main"), "key")
+    rows = _distances(rows.join(split.select("key", "main"), "key"), pivots, seen)
     lone = materialize(lone_kmers(rows, texts), "dup-lone")
     rows = rows.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     # Nodes outside the pivot's class. With so many k-mers of its own a node is similar to none.
     rest = rows.where((F.col("label") != F.col("main")) & (F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9))
-    rest = materialize(rest.select("key", "node", "size", "label", "lone"), "dup-rest")
+    rest = materialize(rest.select("key", "node", "size", "label", "lone", "near", "far"), "dup-rest")
     if rest.limit(1).count():
-        links = materialize(links.union(verified(pivot_pairs(rows, rest), texts)), "dup-links")
-        labels = components(links)
+        more = compared(pivot_pairs(rows, rest), texts).where("linked").select("a", "b")
+        labels = components(materialize(links.union(more), "dup-links"))
     return nodes, labels
 
 
