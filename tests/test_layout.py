@@ -124,4 +124,5 @@ def test_lookup_equals_join_and_frees_the_key(indexed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = lookup(indexed, table, ["series_id"]).groupBy("series_id").agg(F.sum("top"))._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "SortMergeJoin [series_id" in plan and "_salt" in plan and "partial_sum(top" in plan
+    # Null keys compare equal, so the join is on the key with a stand-in for null.
+    assert "SortMergeJoin [coalesce(series_id" in plan and "_salt" in plan and "partial_sum(top" in plan
