@@ -13,10 +13,11 @@ Equal texts are one node from the start, however many there are. In a bucket
 larger one all nodes are compared with its pivot, the node found in the most
 and largest buckets, which is the original where there is one. Then the nodes
 left outside the pivot's class are compared with all nodes of the bucket in
-other classes, but for pairs that cannot be similar: what either shares with the
-pivot bounds what they share with each other (Jaccard distance is a metric), and k-mers that no other node of these buckets has are aligned
-with nothing, which bounds what a pair can reach. So no pair of different
-classes that may be similar goes untested, and no group is collected.
+other classes, but for pairs that cannot be similar: what either shares with
+the pivot bounds what they share with each other (Jaccard distance is a
+metric), and k-mers that no other node of these buckets has are aligned with
+nothing, which bounds what a pair can reach. So no pair of different classes
+that may be similar goes untested, and no group is collected.
 
 Defined results: a null text is empty, and all empty texts are equal; case and
 white space do not count; a text of under five words is one k-mer; a row
@@ -201,14 +202,19 @@ def small_pairs(buckets: DataFrame) -> DataFrame:
     return both.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
 
 
-def pivot_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of each pivot with the nodes of its bucket that are in other classes and may be similar to it."""
+def pivot_pairs(rows: DataFrame, pivots: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs of each pivot with the nodes of its bucket that are in other classes and may be similar to it.
+
+    ``once``: both sides have ``keys``, and a pair comes only from the first bucket that it shares.
+    """
     x, y = rows.alias("x"), pivots.alias("y")
     total = F.col("x.size") + F.col("y.size")
     shared = F.least(F.col("x.size") - F.col("x.lone"), F.col("y.size") - F.col("y.lone"))
     may = (F.col("x.label") != F.col("y.label")) & (shared >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
     apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
     may = may & (apart <= 1 - SIMILAR + 1e-9)
+    if once:
+        may = may & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may)
     return both.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
 
@@ -332,9 +338,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     # Nodes outside the pivot's class. With so many k-mers of its own a node is similar to none.
     rest = rows.where((F.col("label") != F.col("main")) & (F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9))
-    rest = materialize(rest.select("key", "node", "size", "label", "lone", "near", "far"), "dup-rest")
+    keys = nodes.select("node", "keys")
+    rest = rest.select("key", "node", "size", "label", "lone", "near", "far").join(keys, "node")
+    rest = materialize(rest, "dup-rest")
     if rest.limit(1).count():
-        more = compared(pivot_pairs(rows, rest), texts).where("linked").select("a", "b")
+        more = compared(pivot_pairs(rows.join(keys, "node"), rest, once=True), texts).where("linked").select("a", "b")
         labels = components(materialize(links.union(more), "dup-links"))
     return nodes, labels
 
