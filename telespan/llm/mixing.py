@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token weights of the cells (source, language, topic) are raked until their
-marginals meet the targets; each document is then kept with the probability its
-cell was given, decided by a hash of its id and the seed, so a rerun keeps the
-same documents.
+Token weights of the cells (source, language, topic) are raked, with no cell over
+its tokens, until their marginals meet the targets and the budget; each document
+is then kept with the probability its cell was given, decided by a hash of its id
+and the seed, so a rerun keeps the same documents. A target that needs more than
+all tokens of its value cannot be met: the value is kept whole, the others of its
+margin take the rest, and the output has the target next to the achieved share.
 
 Defined results: null source, language or topic is a value of its own (empty
 string); a text without words weighs nothing and is kept at its cell's
@@ -16,6 +18,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telespan.llm.base import DOCUMENT_COLUMNS, documents, query, whole_text
@@ -23,6 +27,9 @@ from telespan.scratch import materialize
 
 MARGINS = ["mix_source", "mix_lang", "mix_topic"]
 SWEEPS = 8
+MOST_SWEEPS = 200
+TOLERANCE = 1e-4
+CELLS_ON_DRIVER = 200_000
 TEMPER = 0.7
 BUDGET = 0.75
 SEED = 17
@@ -76,21 +83,103 @@ def with_targets(cells: DataFrame, targets: dict[str, dict[str, float]]) -> Data
     return out
 
 
-def rake(cells: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """Adds share: the fitted share of all tokens. Each step scales one margin to its target.
+def with_goals(cells: DataFrame, budget: float) -> DataFrame:
+    """Adds goal_*: the tokens each value of a margin is to keep.
 
-    The table has a row for each combination that occurs, never one for a document.
+    A value whose target needs more than all its tokens keeps them all, and the others of its margin share the
+    rest in proportion to their targets, so every margin keeps the same number of tokens: the budget, or all there are.
     """
-    out = materialize(cells.withColumn("share", F.col("tokens").cast("double")), "mix-cells")
+    total = F.sum("tokens")
+    limit = cells.agg(F.least(F.first("all_tokens") * F.lit(budget), total.cast("double")).alias("limit"))
+    values = reduce(
+        DataFrame.unionByName,
+        [
+            cells.groupBy(F.col(n).alias("value")).agg(F.max(f"target_{n}").alias("target"), total.alias("most")).withColumn("margin", F.lit(n))
+            for n in MARGINS
+        ],
+    )
+    at = Window.partitionBy("margin").orderBy(F.desc(F.col("target") / F.col("most")), "value")
+    held = F.coalesce(F.sum("most").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum("target").over(at.rowsBetween(0, Window.unboundedFollowing))
+    values = values.crossJoin(F.broadcast(limit)).withColumn("a", (F.col("limit") - held) / left)  # a single row
+    fits = F.max(F.when(F.col("a") * F.col("target") <= F.col("most"), F.col("a"))).over(Window.partitionBy("margin"))
+    goals = values.select("margin", "value", F.coalesce(F.least("most", fits * F.col("target")), "most").cast("double").alias("goal"))
+    goals = materialize(goals, "mix-goals")
+    out = cells
+    for n in MARGINS:
+        of = goals.where(F.col("margin") == n).select(F.col("value").alias(n), F.col("goal").alias(f"goal_{n}"))
+        out = out.join(of, n)
+    return out
+
+
+def rake(cells: DataFrame, sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """Adds p: the share of its tokens each cell keeps, the product of a factor for each margin, at most 1.
+
+    Each step sets the factors of one margin so that its goals are met exactly under that bound: cells come in
+    order of the product of their other factors, and the first ones are whole. Sweeps end when every margin
+    meets its goals. The table has a row for each combination that occurs, never one for a document; up to
+    CELLS_ON_DRIVER of them are fitted there, more by Spark.
+    """
+    cells = materialize(cells, "mix-cells")
+    if cells.count() <= CELLS_ON_DRIVER:
+        return _raked_on_driver(cells, sweeps)
+    out = cells.withColumns({f"by_{n}": F.lit(1.0) for n in MARGINS})
+    p = F.least(F.lit(1.0), reduce(lambda a, b: a * b, [F.col(f"by_{n}") for n in MARGINS]))
     for done in range(1, sweeps + 1):
         for name in MARGINS:
-            held = F.sum("share").over(Window.partitionBy(name))
-            out = out.withColumn(
-                "share", F.when(held > 0, F.col("share") * F.col(f"target_{name}") / held).otherwise(F.lit(0.0))
-            )
+            others = [n for n in MARGINS if n != name]
+            out = out.withColumn("w", reduce(lambda a, b: a * b, [F.col(f"by_{n}") for n in others]))
+            at = Window.partitionBy(name).orderBy(F.desc("w"), *others)
+            whole = F.coalesce(F.sum("tokens").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            left = F.sum(F.col("tokens") * F.col("w")).over(at.rowsBetween(0, Window.unboundedFollowing))
+            out = out.withColumn("a", (F.col(f"goal_{name}") - whole) / left)
+            of = Window.partitionBy(name)
+            fits = F.max(F.when(F.col("a") * F.col("w") <= 1 + 1e-12, F.col("a"))).over(of)
+            out = out.withColumn(f"by_{name}", F.coalesce(fits, 1 / F.min("w").over(of)))
         if done % 4 == 0 or done == sweeps:
-            out = materialize(out, "mix-cells")
-    return out
+            out = materialize(out.drop("w", "a"), "mix-cells")
+            if _off(out.withColumn("p", p)) <= TOLERANCE:
+                break
+    return out.withColumn("p", p)
+
+
+def _raked_on_driver(cells: DataFrame, sweeps: int) -> DataFrame:
+    table = cells.orderBy(*MARGINS).toPandas()
+    tokens = table["tokens"].to_numpy(float)
+    groups = [np.unique(table[n].to_numpy(str), return_inverse=True)[1] for n in MARGINS]
+    goals = [table[f"goal_{n}"].to_numpy(float) for n in MARGINS]
+    by = [np.ones(len(table)) for _ in MARGINS]
+    p = np.ones(len(table))
+    for _ in range(sweeps if len(table) else 0):
+        for k, group in enumerate(groups):
+            w = np.prod([x for i, x in enumerate(by) if i != k], axis=0)
+            order = np.lexsort((-w, group))
+            t, v, of = tokens[order], w[order], group[order]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            whole, left = np.empty(len(t)), np.empty(len(t))
+            for a, b in zip(first, [*first[1:], len(t)]):
+                whole[a:b] = np.cumsum(t[a:b]) - t[a:b]
+                left[a:b] = np.cumsum((t[a:b] * v[a:b])[::-1])[::-1]
+            factor = (goals[k][order] - whole) / left
+            fits = np.maximum.reduceat(np.where(factor * v <= 1 + 1e-12, factor, -np.inf), first)
+            fits = np.where(np.isfinite(fits), fits, 1 / np.minimum.reduceat(v, first))
+            by[k] = fits[group]
+        p = np.minimum(1.0, np.prod(by, axis=0))
+        off = max(np.abs(np.bincount(g, tokens * p)[g] - goal).max() for g, goal in zip(groups, goals))
+        if off <= TOLERANCE * (tokens * p).sum():
+            break
+    fitted = pa.table({n: pa.array(table[n], pa.string()) for n in MARGINS} | {"p": pa.array(p)})
+    return cells.join(cells.sparkSession.createDataFrame(fitted), MARGINS)
+
+
+def _off(cells: DataFrame) -> float:
+    """Largest distance of a margin's tokens from its goal, as a share of the budget."""
+    out = cells
+    for n in MARGINS:
+        got = F.sum(F.col("tokens") * F.col("p")).over(Window.partitionBy(n))
+        out = out.withColumn(f"off_{n}", F.abs(got - F.col(f"goal_{n}")))
+    kept = F.sum(F.col("tokens") * F.col("p"))
+    return out.agg(F.coalesce(F.max(F.greatest(*[f"off_{n}" for n in MARGINS])) / kept, F.lit(0.0))).first()[0]
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -114,15 +203,28 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def fit(described: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """Margins and mix_probability per cell; ``budget`` is the share of all tokens to keep."""
+    """Per cell: margins, share of the sample, mix_probability, and each margin's target and share of the sample.
+
+    ``budget`` is the share of all tokens to keep. A cell without a target is not kept.
+    """
     cells = described.groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0")
     cells = materialize(cells, "mix-margins")
-    fitted = rake(tempered(cells) if targets is None else with_targets(cells, targets))
     total = cells.agg(F.sum("tokens").alias("all_tokens"))
-    return fitted.crossJoin(F.broadcast(total)).select(  # a single row
+    aimed = tempered(cells) if targets is None else with_targets(cells, targets)
+    aimed = materialize(aimed.crossJoin(F.broadcast(total)), "mix-targets")  # a single row
+    wanted = reduce(lambda a, b: a & b, [F.col(f"target_{n}") > 0 for n in MARGINS])
+    fitted = rake(with_goals(aimed.where(wanted), budget)).select(*MARGINS, "tokens", "p", *[f"target_{n}" for n in MARGINS])
+    rest = aimed.where(~wanted).select(*MARGINS, "tokens", F.lit(0.0).alias("p"), *[f"target_{n}" for n in MARGINS])
+    out = fitted.unionByName(rest)
+    kept = out.agg(F.sum(F.col("tokens") * F.col("p")).alias("kept"))
+    out = out.crossJoin(F.broadcast(kept)).withColumn("share", F.try_divide(F.col("tokens") * F.col("p"), "kept"))  # a single row
+    for n in MARGINS:
+        out = out.withColumn(f"{n}_share", F.sum("share").over(Window.partitionBy(n)))
+    return out.select(
         *MARGINS,
         "share",
-        F.least(F.lit(1.0), F.col("share") * F.col("all_tokens") * budget / F.col("tokens")).alias("mix_probability"),
+        F.col("p").alias("mix_probability"),
+        *[x for n in MARGINS for x in (F.col(f"target_{n}").alias(f"{n}_target"), F.col(f"{n}_share"))],
     )
 
 
@@ -130,7 +232,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     """All documents with mix_* columns; mix_kept marks the sample."""
     described = describe(docs)
     cells = fit(described, targets, budget)
-    cells = cells.select(*[F.col(n).alias(f"of_{n}") for n in MARGINS], "share", "mix_probability")
+    cells = cells.select(*[F.col(n).alias(f"of_{n}") for n in MARGINS], *[c for c in cells.columns if c not in MARGINS])
     same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"of_{n}") for n in MARGINS])
     # A cell may hold a third of all documents: the few cells go to the documents, or Spark splits the skewed join.
     out = described.join(cells, same, "left").drop(*[f"of_{n}" for n in MARGINS])
@@ -175,7 +277,7 @@ FROM d LEFT JOIN fitted f ON d.s = f.s AND d.l = f.l AND d.p = f.p"""
 
 @query("op2_mixing", _sql())
 def op2_mixing(spark, sf):
-    """Each document's cell, the cell's fitted share, its probability, and whether the sample has it."""
+    """Each document's cell, the cell's share of the sample, its probability, whether the sample has it, and each margin's target and achieved share."""
     return mix(documents(spark, sf).select(*DOCUMENT_COLUMNS)).select(
         "doc_id",
         F.col("mix_source").alias("source"),
@@ -185,4 +287,5 @@ def op2_mixing(spark, sf):
         F.round(F.coalesce("share", F.lit(0.0)), 9).alias("cell_share"),
         F.round("mix_probability", 7).alias("probability"),
         F.col("mix_kept").alias("kept"),
+        *[F.round(f"{n}_{k}", 9).alias(f"{n.removeprefix('mix_')}_{k}") for n in MARGINS for k in ("target", "share")],
     )

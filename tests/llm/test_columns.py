@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,34 @@ def test_mixing_meets_targets(spark):
     ]
 
 
+@pytest.mark.parametrize("on_driver", [200_000, 0])
+def test_mixing_keeps_the_budget_when_cells_are_whole(spark, monkeypatch, on_driver):
+    """Default targets and a hot source: topics too small for their target are whole, all others meet theirs in proportion."""
+    monkeypatch.setattr(mixing, "CELLS_ON_DRIVER", on_driver)
+    ends = {"contact": " a@b", "legal": " License", "table": " | x", "prose": ""}
+    some = []
+    for i in range(1200):
+        topic = "contact" if i % 40 == 0 else "legal" if i % 40 == 1 else "table" if i % 10 == 2 else "prose"
+        source = "hot" if i % 3 else f"s{i % 5}"
+        some.append((i, prose(i, 20 + i % 7) + ends[topic], ["en", "de", "fr"][i // 3 % 3], source, 1, 1, 1, "x"))
+    described = mixing.describe(frame(spark, some))
+    tokens = described.groupBy(*mixing.MARGINS).agg(F.sum("mix_tokens").alias("tokens")).toPandas()
+    got = mixing.fit(described).toPandas().merge(tokens, on=mixing.MARGINS)
+    assert len(got) == len(tokens) and got.mix_probability.max() <= 1 and (got.mix_probability == 1).any()
+    kept, total = (got.mix_probability * got.tokens).sum(), got.tokens.sum()
+    assert abs(kept / total - mixing.BUDGET) < 1e-3
+    for name in mixing.MARGINS:
+        by = got.assign(kept=got.mix_probability * got.tokens).groupby(name).agg(
+            kept=("kept", "sum"), most=("tokens", "sum"), target=(f"{name}_target", "first"), share=(f"{name}_share", "first")
+        )
+        assert np.allclose(by.kept / kept, by.share)
+        wanted = np.ones(len(by), bool)
+        for _ in range(len(by)):  # values that stay below their part of what the others leave
+            part = by.target * (kept - by.most[~wanted].sum()) / by.target[wanted].sum()
+            wanted &= (part <= by.most).to_numpy()
+        assert np.allclose(by.kept, np.where(wanted, part, by.most), atol=2e-4 * total)
+
+
 def test_mixing_defined_rows(spark, tmp_path):
     got = as_dicts(mixing.op2_mixing(spark, folder(tmp_path, spark, documents=frame(spark))))
     assert len(got) == len(rows())
