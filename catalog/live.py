@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import functions as F
 
 from catalog.base import query, r8, table, user_flows
@@ -40,6 +42,14 @@ def finished(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def whole(spark, tracked, closing, label):
+    """Run a stream over the present files to its end, with the rows that wait; late rows are counted."""
+    out, late = live.finish(tracked, closing, scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint"))
+    if n := late.count():
+        logging.getLogger(__name__).warning("%s: %d rows came too late and are in the table of late rows", label, n)
+    return out
+
+
 def closed_bins(spark, sf):
     return live.flow_bins(user_flows(_Streamed(spark, sf), sf), 60)
 
@@ -69,7 +79,7 @@ def _(spark, sf):
             )
         ).alias("interfaces"),
     )
-    out = finished(spark, live.counter_rates(live.node_samples(messages)), "rates")
+    out = whole(spark, live.tracked_rates(live.node_samples(messages)), live.closing_rates, "rates")
     return out.select("node", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("ts_us"), "delta")
 
 
@@ -96,7 +106,7 @@ def _(spark, sf):
     path = scratch_path(spark, "telemetry")
     bins = flows.bin_flow_log(user_flows(spark, sf), 60)
     bins.write.parquet(path)
-    out = finished(spark, live.running_persistence(live.read_files(spark, path, bins.schema)), "running")
+    out = whole(spark, live.tracked_persistence(live.read_files(spark, path, bins.schema)), live.closing_persistence, "running")
     return r8(
         out.select("series_id", S.epoch_seconds(F.col("timestamp").cast("timestamp_ntz")).alias("timestamp"), "predicted", "n", "running_mae")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,8 +52,9 @@ class InOrder(StatefulProcessor):
 
     Rows wait in list state until the watermark has passed them, by a timer at
     the earliest one, and are then handed on in order. So results do not depend
-    on how a stream is cut into micro-batches. Rows later than the watermark
-    are dropped by Spark, and the last rows wait until the watermark moves on.
+    on how a stream is cut into micro-batches. A row that comes after later
+    rows of its key were handed on is passed through with ``late`` set; the last
+    rows wait until the watermark moves on or :func:`finish` takes them.
     """
 
     time, value, kind = "ts", "value", "double"
@@ -61,14 +62,24 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", f"us long, value {self.kind}")
+        self.newest = handle.getValueState("newest", f"us long, value {self.kind}")
 
     def step(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
         raise NotImplementedError
 
+    def rejected(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
+        raise NotImplementedError
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         us = batch[self.time].to_numpy().astype("datetime64[us]").astype("int64")
-        yield from self._release(key, list(zip(us.tolist(), batch[self.value].tolist())), timerValues)
+        new = list(zip(us.tolist(), batch[self.value].tolist()))
+        newest = tuple(self.newest.get()) if self.newest.exists() else None
+        late = sorted(x for x in new if newest and x < newest)
+        if late:
+            new = [x for x in new if x >= newest]
+            yield self.rejected(key, *_columns(late))
+        yield from self._release(key, new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._release(key, [], timerValues)
@@ -84,13 +95,53 @@ class InOrder(StatefulProcessor):
         else:
             self.waiting.clear()
         if ready:
-            times = pd.Series(pd.to_datetime([x[0] for x in ready], unit="us"))
-            yield self.step(key, times, pd.Series([x[1] for x in ready]))
+            self.newest.update(ready[-1])
+            yield self.step(key, *_columns(ready))
 
     def close(self) -> None:
         pass
 
 
+def _columns(rows: list[tuple]) -> tuple[pd.Series, pd.Series]:
+    return pd.Series(pd.to_datetime([x[0] for x in rows], unit="us")), pd.Series([x[1] for x in rows])
+
+
+def _in_order(rows: DataFrame, processor: type[InOrder], key: str, schema: str, delay: str) -> DataFrame:
+    # The watermark's column itself would let Spark drop late rows unseen; a computed one does not.
+    time = F.timestamp_micros(F.unix_micros(processor.time)).alias(processor.time)
+    return (
+        rows.withWatermark(processor.time, delay)
+        .select(key, time, processor.value)
+        .groupBy(key)
+        .transformWithStateInPandas(processor(), schema, "Append", "EventTime")
+    )
+
+
+def finish(tracked: DataFrame, closing, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Run a bounded stream to its end: all results, those of the rows still waiting too, and the table of late rows.
+
+    ``closing`` is the stream's batch pass over the state it left.
+    """
+    spark = tracked.sparkSession
+    append_telemetry(tracked, path, checkpoint).awaitTermination()
+    written = spark.read.schema(tracked.schema).parquet(path)
+    done = written.where("NOT late").drop("late", "late_value")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state/0")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):  # else nothing was read
+        done = done.unionByName(closing(spark, checkpoint))
+    return done, written.where("late")
+
+
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+
+
+def _waiting(spark: SparkSession, checkpoint: str, key: str, state: str) -> DataFrame:
+    rows = _state(spark, checkpoint, "waiting").select(F.col(f"key.{key}").alias(key), "list_element.us", "list_element.value")
+    before = _state(spark, checkpoint, state).select(F.col(f"key.{key}").alias("_key"), F.col("value").alias("state"))
+    return rows.join(before, F.col(key).eqNullSafe(F.col("_key")), "left")
+
+
 class CounterRates(InOrder):
     """ST-02: last known total per node; a reset counts as 0."""
 
@@ -105,15 +156,27 @@ class CounterRates(InOrder):
         before.iloc[0] = self.last.get()[0] if self.last.exists() else values.iloc[0]
         self.last.update((int(values.iloc[-1]),))
         delta = (values - before).clip(lower=0).astype("int64")
-        return pd.DataFrame({"node": key[0], "ts": times, "delta": delta})
+        return pd.DataFrame({"node": key[0], "ts": times, "delta": delta, "late": False, "late_value": None})
+
+    def rejected(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"node": key[0], "ts": times, "delta": None, "late": True, "late_value": values})
+
+
+def tracked_rates(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """As :func:`counter_rates`, with late rows marked ``late``."""
+    return _in_order(samples, CounterRates, "node", "node string, ts timestamp, delta long, late boolean, late_value long", delay)
 
 
 def counter_rates(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """ST-02: ``samples`` has one total per node and sample time."""
-    return (
-        samples.withWatermark("ts", delay)
-        .groupBy("node")
-        .transformWithStateInPandas(CounterRates(), "node string, ts timestamp, delta long", "Append", "EventTime")
+    return tracked_rates(samples, delay).where("NOT late").drop("late", "late_value")
+
+
+def closing_rates(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ST-02 of the rows that still wait at the end."""
+    before = F.coalesce(F.lag("value").over(Window.partitionBy("node").orderBy("us", "value")), "state.total", "value")
+    return _waiting(spark, checkpoint, "node", "last").select(
+        "node", F.timestamp_micros("us").alias("ts"), F.greatest(F.lit(0).cast("long"), F.col("value") - before).alias("delta")
     )
 
 
@@ -148,22 +211,40 @@ class RunningError(InOrder):
         counts = pd.Series(range(n + 1, n + len(values) + 1), index=values.index)
         self.state.update((float(values.iloc[-1]), int(n + len(values)), float(errors.iloc[-1])))
         return pd.DataFrame(
-            {"series_id": key[0], "timestamp": times, "predicted": predicted, "n": counts, "running_mae": errors / counts}
+            {"series_id": key[0], "timestamp": times, "predicted": predicted, "n": counts, "running_mae": errors / counts, "late": False, "late_value": None}
+        )
+
+    def rejected(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"series_id": key[0], "timestamp": times, "predicted": None, "n": None, "running_mae": None, "late": True, "late_value": values}
         )
 
 
+def tracked_persistence(telemetry: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """As :func:`running_persistence`, with late rows marked ``late``."""
+    rows = telemetry.select("series_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "traffic_mbps")
+    schema = "series_id string, timestamp timestamp, predicted double, n long, running_mae double, late boolean, late_value double"
+    return _in_order(rows, RunningError, "series_id", schema, delay)
+
+
 def running_persistence(telemetry: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """ST-04"""
-    return (
-        telemetry.select("series_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "traffic_mbps")
-        .withWatermark("timestamp", delay)
-        .groupBy("series_id")
-        .transformWithStateInPandas(
-            RunningError(),
-            "series_id string, timestamp timestamp, predicted double, n long, running_mae double",
-            "Append",
-            "EventTime",
-        )
+    return tracked_persistence(telemetry, delay).where("NOT late").drop("late", "late_value")
+
+
+def closing_persistence(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ST-04 of the rows that still wait at the end."""
+    order = Window.partitionBy("series_id").orderBy("us", "value")
+    rows = _waiting(spark, checkpoint, "series_id", "state").withColumns(
+        {"predicted": F.coalesce(F.lag("value").over(order), "state.value", "value"), "n": F.coalesce("state.n", F.lit(0)) + F.row_number().over(order)}
+    )
+    errors = F.sum(F.abs(F.col("value") - F.col("predicted"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(
+        "series_id",
+        F.timestamp_micros("us").alias("timestamp"),
+        "predicted",
+        "n",
+        ((F.coalesce("state.total", F.lit(0.0)) + errors) / F.col("n")).alias("running_mae"),
     )
 
 

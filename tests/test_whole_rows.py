@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,34 @@ def test_streams_follow_event_time(spark, tmp_path, files):
     assert got.running_mae.tolist() == pytest.approx([h * h / (h + 1) for h in range(9)])
     rates = finish(live.counter_rates(samples, "12 hours"), "rates").sort_values("ts")
     assert rates.delta.tolist() == [0] + [2 * h + 1 for h in range(8)]
+
+
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_bounded_streams_lose_no_row(spark, tmp_path, shuffled):
+    """The default delay, one file a trigger: each row is in the results or in the table of late rows."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    hours = [5, 0, 3, 7, 6, 1, 2, 8, 4] if shuffled else list(range(9))
+    for part in range(3):
+        some = hours[3 * part : 3 * part + 3]
+        times = [pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h) for h in some]
+        rows = pd.DataFrame({"series_id": "s", "timestamp": times, "traffic_mbps": [float(h * h) for h in some]})
+        spark.createDataFrame(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = live.read_files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files=1)
+    samples = stream.select(F.col("series_id").alias("node"), F.col("timestamp").cast("timestamp").alias("ts"), F.col("traffic_mbps").cast("long").alias("total"))
+    late = [2] if shuffled else []  # 3 had been handed on before it came
+    kept = [h for h in range(9) if h not in late]
+    for name, tracked, closing, at in (
+        ("errors", live.tracked_persistence(stream), live.closing_persistence, "timestamp"),
+        ("rates", live.tracked_rates(samples), live.closing_rates, "ts"),
+    ):
+        done, rejected = (x.toPandas().sort_values(at) for x in live.finish(tracked, closing, f"{tmp_path}/{name}", f"{tmp_path}/{name}-checkpoint"))
+        assert done[at].dt.hour.tolist() + rejected[at].dt.hour.tolist() == kept + late
+        assert rejected.late_value.tolist() == [h * h for h in late]
+        before = [0, *kept[:-1]]
+        if name == "rates":
+            assert done.delta.tolist() == [h * h - b * b for h, b in zip(kept, before)]
+        else:
+            errors = pd.Series([float(h * h - b * b) for h, b in zip(kept, before)])
+            assert done.predicted.tolist() == [float(b * b) for b in before] and done.n.tolist() == list(range(1, len(kept) + 1))
+            assert done.running_mae.tolist() == pytest.approx((errors.cumsum() / done.n.to_numpy()).tolist())
