@@ -15,6 +15,9 @@ MODULES = [
     "quality",
     "token_counts",
     "warc",
+    "link_filter",
+    "whitening",
+    "lexical_search",
 ]
 
 
