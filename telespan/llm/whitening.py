@@ -43,6 +43,8 @@ from telespan.scratch import materialize
 COMPONENTS = 16
 SCALE, SHIFT = 64.0, 1_000_000
 BLOCK_BYTES = 8_000_000  # of one row of the fit list
+PARTS_BYTES = 8_000_000  # of partial sums that the driver takes
+FAN = 16  # partial sums that one task adds
 EPS = np.finfo(np.float64).eps
 EXACT = 2.0**62  # integers below it need no wide arithmetic
 SEED = 7
@@ -87,9 +89,17 @@ def dimension_of(vectors: DataFrame) -> int:
     return best["d"] if best else 0
 
 
-def fit_list(vectors: DataFrame, dimension: int) -> DataFrame:
+@dataclass
+class FitList:
     """Each distinct x vector once, many to a row: ``block`` holds them as 64-bit integers."""
 
+    rows: DataFrame
+    dimension: int
+    tasks: int
+
+
+def fit_list(vectors: DataFrame, dimension: int) -> FitList:
+
     def packed(batches):
         for batch in batches:
             _, x = rows_of(batch.column(0), dimension)
@@ -103,7 +113,8 @@ def fit_list(vectors: DataFrame, dimension: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["block"])
 
     distinct = vectors.select(F.col("embedding").cast("array<double>")).mapInArrow(packed, "x binary").distinct()
-    return materialize(distinct.mapInArrow(blocks, "block binary"), "fit-list")
+    rows = materialize(distinct.mapInArrow(blocks, "block binary"), "fit-list")
+    return FitList(rows, dimension, rows.rdd.getNumPartitions())
 
 
 @dataclass
@@ -132,51 +143,60 @@ class Centre:
         return [v if v < 2**63 else None for v in exact]
 
 
-def added(fit: DataFrame, dimension: int, part: Callable[[np.ndarray], np.ndarray], size: int, kind: str = "double") -> np.ndarray:
-    """The sum over all blocks of ``part(block)``, ``size`` numbers; tasks add theirs up first."""
+def added(fit: FitList, part: Callable[[np.ndarray], np.ndarray], kind: type = np.float64) -> np.ndarray:
+    """The sum over all blocks of ``part(block)``, a vector; every task adds up its own first."""
+    dimension = fit.dimension
 
     def partial(batches):
         total = None
         for batch in batches:
             for block in batch.column(0):
-                x = np.frombuffer(block.as_py(), dtype=np.int64).reshape(-1, dimension)
-                made = part(x)
+                made = part(np.frombuffer(block.as_py(), dtype=np.int64).reshape(-1, dimension))
                 total = made if total is None else total + made
         if total is not None:
-            at = np.arange(size, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total)], names=["at", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], names=["part"])
 
-    rows = fit.mapInArrow(partial, f"at int, part {kind}").groupBy("at").agg(F.sum("part").alias("total"))
-    found = rows.toPandas()
-    out = np.zeros(size, dtype=np.float64 if kind == "double" else np.int64)
-    out[found["at"].to_numpy()] = found["total"].to_numpy()
-    return out
+    def merged(batches):
+        total = None
+        for batch in batches:
+            for row in batch.column(0):
+                made = np.frombuffer(row.as_py(), dtype=kind)
+                total = made if total is None else total + made
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    rows, tasks = fit.rows.mapInArrow(partial, "part binary"), fit.tasks
+    size = 8 * part(np.zeros((1, dimension), dtype=np.int64)).size
+    while tasks > FAN and tasks * size > PARTS_BYTES:
+        tasks = -(-tasks // FAN)
+        rows = rows.repartition(tasks).mapInArrow(merged, "part binary")
+    parts = [np.frombuffer(r[0], dtype=kind) for r in rows.collect()]
+    return np.sum(parts, axis=0) if parts else np.zeros(size // 8, dtype=kind)
 
 
-def centre_of(fit: DataFrame, dimension: int) -> Centre:
+def centre_of(fit: FitList) -> Centre:
     """Halves of the integers are summed apart, so the sums neither round nor overflow."""
 
     def halves(x: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], (x >> 32).sum(axis=0), (x & 0xFFFFFFFF).sum(axis=0)]).astype(np.int64)
 
-    found = added(fit, dimension, halves, 1 + 2 * dimension, "bigint").tolist()
-    high, low = found[1 : 1 + dimension], found[1 + dimension :]
+    found = added(fit, halves, np.int64).tolist()
+    high, low = found[1 : 1 + fit.dimension], found[1 + fit.dimension :]
     return Centre(found[0], [(h << 32) + k for h, k in zip(high, low)])
 
 
-def product(fit: DataFrame, centre: Centre, u: np.ndarray) -> np.ndarray:
+def product(fit: FitList, centre: Centre, u: np.ndarray) -> np.ndarray:
     """V u for the columns of u: one pass over the fit list."""
 
     def part(x: np.ndarray) -> np.ndarray:
         c = centre.centred(x)
         return (c.T @ (c @ u)).ravel()
 
-    return added(fit, len(u), part, u.size).reshape(u.shape) / centre.n
+    return added(fit, part).reshape(u.shape) / centre.n
 
 
-def trace_of(fit: DataFrame, centre: Centre) -> float:
-    d = len(centre.sums)
-    return float(added(fit, d, lambda x: np.array([np.square(centre.centred(x)).sum()]), 1)[0]) / centre.n
+def trace_of(fit: FitList, centre: Centre) -> float:
+    return float(added(fit, lambda x: np.array([np.square(centre.centred(x)).sum()]))[0]) / centre.n
 
 
 def minres(times: Callable[[np.ndarray], np.ndarray], b: np.ndarray, steps: int, small: float) -> np.ndarray:
@@ -336,7 +356,7 @@ def whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | N
     if not d:
         return None
     fit = fit_list(vectors, d)
-    centre = centre_of(fit, d)
+    centre = centre_of(fit)
     trace = trace_of(fit, centre)
     if trace <= 0:
         return None
@@ -348,13 +368,13 @@ def whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | N
     u = u * np.sign(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])])
     out = Whitening(d, centre, pairs.values[real], u, pairs.values[real] / trace, 0.0, pairs.passes)
     k = u.shape[1]
-    mean = added(fit, d, lambda x: out.project(x).sum(axis=0), k) / centre.n
+    mean = added(fit, lambda x: out.project(x).sum(axis=0)) / centre.n
 
     def outer(x: np.ndarray) -> np.ndarray:
         z = out.project(x) - mean
         return (z.T @ z).ravel()
 
-    covariance = added(fit, d, outer, k * k).reshape(k, k) / centre.n
+    covariance = added(fit, outer).reshape(k, k) / centre.n
     out.identity_error = float(np.abs(covariance - np.eye(k)).max())
     return out
 

@@ -115,7 +115,10 @@ def plain_whitening(vectors, k=16):
     return n, ((n * x - s).astype(object) ** 2).sum(axis=1), ((n * x - s) / n) @ u / np.sqrt(e), e / np.trace(cov)
 
 
-def test_whitening_equals_the_dense_solution(spark):
+@pytest.mark.parametrize("fan, held", [(16, 8_000_000), (2, 100)])
+def test_whitening_equals_the_dense_solution(spark, monkeypatch, fan, held):
+    monkeypatch.setattr(whitening, "FAN", fan)  # with 2, partial sums are added in levels
+    monkeypatch.setattr(whitening, "PARTS_BYTES", held)
     r = np.random.default_rng(3)
     d = 24
     vectors = (r.standard_normal((400, d)) * np.linspace(0.2, 3.0, d)).astype(np.float32).tolist()
