@@ -1,6 +1,7 @@
-"""Learned forecasters with Spark ML (F-02, M-02 .. M-04, M-08, M-11, A-35, J-04).
+"""Learned forecasters with Spark ML (F-02, M-03, M-08, M-11, A-35, J-04).
 
 One model per metric learns from all series at once; fitting is distributed.
+Models of each series by itself are in :mod:`telespan.plans.series_models`.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from telespan.functions.scalar import clip, spike_weight_factor
 from telespan.model import METRICS
+from telespan.operators import baselines as B
 from telespan.operators import evaluation as E
 from telespan.operators import features as X
 from telespan.operators import forecasts as C
 from telespan.operators.report import spike_rows
 from telespan.scratch import materialize
 
+FOLDS = 4  # blocks of train rows for the first learner of a fused fit
+
 # F-02: learner name -> estimator. The default sizes.
 LEARNERS = {
     "gbr": lambda seed, **p: GBTRegressor(
@@ -191,17 +195,43 @@ def fit_fused(
 ) -> Fitted:
     """M-11: the second learner also sees the first one's forecast.
 
-    The first learner is fit on the older half of the train part and the second
-    on the newer half, so no row is forecast by a model that saw it.
+    Train rows are cut into blocks of time. A block is forecast by a fit on the
+    blocks before it, the first one by a fit on those after it, so both learners
+    use every train row and no row is forecast by a model that saw it. Later
+    parts are forecast by a fit on the whole train part.
     """
-    older = F.col("row_idx") < F.floor(F.col("val_start") / 2)
-    first_fit = fit(
-        table.filter(older & (F.col("split") == "train")), first, look_back, **(first_params or {})
-    )
-    scored = predict(Fitted(first_fit.models, first_fit.features, table.filter(~older), look_back, first))
+    is_train = F.col("split") == "train"
+    block = F.when(is_train, F.least(F.floor(F.col("row_idx") * FOLDS / F.col("val_start")), F.lit(FOLDS - 1)))
+    parts = table.withColumn("_block", block)
     names = {f"predicted_{m}": f"first_{m}" for m in METRICS}
-    outputs = scored.select("series_id", "row_idx", *[F.col(p).alias(n) for p, n in names.items()])
-    fused = materialize(fuse(table.filter(~older), outputs), "fused")
+
+    def scored(fitted: Fitted, rows: DataFrame) -> DataFrame:
+        out = predict(Fitted(fitted.models, fitted.features, rows.drop("_block"), look_back, first))
+        return out.select("series_id", "row_idx", *[F.col(p).alias(n) for p, n in names.items()])
+
+    whole = fit(table, first, look_back, **(first_params or {}))
+    outputs = scored(whole, parts.filter(~is_train))
+    for k in range(FOLDS):
+        known = F.col("_block") < k if k else F.col("_block") > 0
+        made = fit(parts.filter(known).drop("_block"), first, look_back, **(first_params or {}))
+        outputs = outputs.unionByName(scored(made, parts.filter(F.col("_block") == k)))
+    fused = materialize(fuse(table, materialize(outputs, "first-forecasts")), "fused")
     out = fit(fused, second, look_back, features=[*X.feature_names(look_back), *names.values()], **params)
-    out.extra["first"] = first_fit
+    out.extra["first"] = whole
     return out
+
+
+def evaluate(fitted: Fitted, method: str = "Model") -> DataFrame:
+    """Scores of a fit next to persistence, on the test part."""
+    train = fitted.table.filter(F.col("split") != "test")
+    test = F.col("test_start")
+    rows = fitted.table.filter(F.col("split") == "test").select(
+        "series_id",
+        "timestamp",
+        (F.col("row_idx") - test).alias("row_idx"),
+        (F.col("n_rows") - test).alias("n_rows"),
+        *METRICS,
+    )
+    base = B.long_forecasts(B.add_baselines(rows, ["Persistence"]), ["Persistence"])
+    both = base.unionByName(forecasts(fitted, "test", method))
+    return E.score(both, E.quantile_thresholds(train.select("series_id", *METRICS)))

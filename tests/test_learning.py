@@ -5,7 +5,7 @@ from telespan.model import METRICS
 from telespan.operators import evaluation as E
 from telespan.operators.layout import index_rows
 from telespan.plans import forecast as FP
-from telespan.plans import learn, sweep
+from telespan.plans import learn
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def seasonal(spark):
 def test_learner_beats_persistence_and_forecasts(seasonal):
     table = learn.feature_table(seasonal, 24)
     fitted = learn.fit(table, "linear", 24)
-    scored = sweep.evaluate(fitted)
+    scored = learn.evaluate(fitted)
     gain = {(r["method"], r["metric"]): r["mae_improvement_pct"] for r in E.compare_with_baseline(scored).collect()}
     assert all(gain[("Model", m)] > 0 for m in ("latency_ms", "packet_loss_pct"))
     out = FP.with_bands(FP.recursive_forecast(seasonal, fitted.models, 24, 3)).orderBy("series_id", "step_no").toPandas()
