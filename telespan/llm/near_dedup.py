@@ -16,7 +16,8 @@ left outside the pivot's class are compared with all nodes of the bucket in
 other classes, but for pairs that cannot be similar: what either shares with
 the pivot bounds what they share with each other (Jaccard distance is a
 metric), and k-mers that no other node of these buckets has are aligned with
-nothing, which bounds what a pair can reach. So no pair of different classes
+nothing, so that the others, counted by part of a hash, bound what a pair can
+share. So no pair of different classes
 that may be similar goes untested, and no group is collected.
 
 Defined results: a null text is empty, and all empty texts are equal; case and
@@ -45,6 +46,7 @@ FUNCTIONS = 24
 TAKEN = 3  # labelled k-mers per function
 SIMILAR = 0.8
 SMALL = 24
+PARTS = 128  # counts of a node's k-mers by hash
 KEPT_TEXTS = 200  # prepared texts a task keeps
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -214,6 +216,9 @@ def pivot_pairs(rows: DataFrame, pivots: DataFrame, once: bool = False) -> DataF
     apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
     may = may & (apart <= 1 - SIMILAR + 1e-9)
     if once:
+        # Of a part of the k-mers, two nodes share at most the smaller count.
+        common = F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.least(a, b)), F.lit(0), lambda n, v: n + v)
+        may = may & (common >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
         may = may & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may)
     return both.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
@@ -261,17 +266,31 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def lone_kmers(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, lone: how many of its labelled k-mers no other of these nodes has. Rows only where there are some."""
+    """node, lone, parts: how many of its labelled k-mers no other of these nodes has, and the others by part of a hash."""
 
     @F.pandas_udf("array<bigint>")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([kmers([t])[0].view(np.int64) for t in texts])
 
+    @F.pandas_udf("array<int>")
+    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, alone in batches:
+            out = []
+            for t, of in zip(texts, alone):
+                all_ = np.bincount((kmers([t])[0] % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+                out.append((all_ - np.bincount(np.asarray(of, dtype=np.int64), minlength=PARTS)).astype(np.int32))
+            yield pd.Series(out)
+
     some = texts.join(rows.select("node").distinct(), "node", "left_semi")
     each = some.select("node", F.explode(digests("text")).alias("kmer"))
     lone = each.groupBy("kmer").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return lone.groupBy("node").agg(F.count("*").alias("lone"))
+    # The part of a digest as the tasks see it: its lowest bits, whatever its sign.
+    part = F.col("kmer").bitwiseAND(F.lit(PARTS - 1)).cast("int")
+    # At most the k-mers of one text.
+    alone = lone.groupBy("node").agg(F.collect_list(part).alias("of"))
+    found = some.join(alone, "node", "left").withColumn("of", F.coalesce("of", F.array().cast("array<int>")))
+    return found.select("node", F.size("of").alias("lone"), shared("text", "of").alias("parts"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,11 +354,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).where("low != high")
     rows = _distances(rows.join(split.select("key", "main"), "key"), pivots, seen)
     lone = materialize(lone_kmers(rows, texts), "dup-lone")
-    rows = rows.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    rows = rows.join(lone, "node")
     # Nodes outside the pivot's class. With so many k-mers of its own a node is similar to none.
     rest = rows.where((F.col("label") != F.col("main")) & (F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9))
     keys = nodes.select("node", "keys")
-    rest = rest.select("key", "node", "size", "label", "lone", "near", "far").join(keys, "node")
+    rest = rest.select("key", "node", "size", "label", "lone", "parts", "near", "far").join(keys, "node")
     rest = materialize(rest, "dup-rest")
     if rest.limit(1).count():
         more = compared(pivot_pairs(rows.join(keys, "node"), rest, once=True), texts).where("linked").select("a", "b")
