@@ -74,6 +74,28 @@ def test_first_split_is_the_best_of_all():
     assert t.gain[0, 0] == pytest.approx(best[0], rel=1e-9)
 
 
+def test_forest_grows_as_declared():
+    r = np.random.default_rng(8)
+    x = r.standard_normal((250, 5))
+    y = 4.0 * (x[:, 0] > 0) + 2.0 * (x[:, 1] > 0.5) + 0.1 * r.standard_normal(250)
+    one = boosting.forest(x, y, np.ones(250), trees=1, depth=12, leaf=3)
+    depth, todo, leaves = 0, [(int(one.roots[0]), 0)], 0
+    while todo:
+        node, level = todo.pop()
+        depth = max(depth, level)
+        if one.feature[node] >= 0:
+            todo += [(int(one.child[node]), level + 1), (int(one.child[node]) + 1, level + 1)]
+        else:
+            leaves += 1
+    assert 2 <= depth <= 12 and 4 <= leaves <= 250 / 3
+    many = boosting.forest(x, y, np.ones(250), trees=40)
+    new = r.standard_normal((200, 5))
+    want = 4.0 * (new[:, 0] > 0) + 2.0 * (new[:, 1] > 0.5)
+    assert np.square(many.predict(new) - want).mean() < 0.1 * want.var()
+    stump = boosting.forest(x, np.full(250, 3.0), np.ones(250), trees=3)
+    assert np.allclose(stump.predict(new), 3.0)
+
+
 def test_weights_count_like_copies():
     r = np.random.default_rng(5)
     x, y = r.integers(0, 9, (60, 4)).astype(float), r.standard_normal(60)
