@@ -26,7 +26,6 @@ from telespan.llm.base import DOCUMENT_COLUMNS, documents, query, whole_text
 from telespan.scratch import materialize
 
 MARGINS = ["mix_source", "mix_lang", "mix_topic"]
-SWEEPS = 8
 MOST_SWEEPS = 200
 TOLERANCE = 1e-4
 CELLS_ON_DRIVER = 200_000
@@ -125,7 +124,7 @@ def rake(cells: DataFrame, sweeps: int = MOST_SWEEPS) -> DataFrame:
         return _raked_on_driver(cells, sweeps)
     out = cells.withColumns({f"by_{n}": F.lit(1.0) for n in MARGINS})
     p = F.least(F.lit(1.0), reduce(lambda a, b: a * b, [F.col(f"by_{n}") for n in MARGINS]))
-    for done in range(1, sweeps + 1):
+    for _ in range(sweeps):
         for name in MARGINS:
             others = [n for n in MARGINS if n != name]
             out = out.withColumn("w", reduce(lambda a, b: a * b, [F.col(f"by_{n}") for n in others]))
@@ -136,10 +135,10 @@ def rake(cells: DataFrame, sweeps: int = MOST_SWEEPS) -> DataFrame:
             of = Window.partitionBy(name)
             fits = F.max(F.when(F.col("a") * F.col("w") <= 1 + 1e-12, F.col("a"))).over(of)
             out = out.withColumn(f"by_{name}", F.coalesce(fits, 1 / F.min("w").over(of)))
-        if done % 4 == 0 or done == sweeps:
-            out = materialize(out.drop("w", "a"), "mix-cells")
-            if _off(out.withColumn("p", p)) <= TOLERANCE:
-                break
+        # The rule of the other path: after every sweep.
+        out = materialize(out.drop("w", "a"), "mix-cells")
+        if _off(out.withColumn("p", p)) <= TOLERANCE:
+            break
     return out.withColumn("p", p)
 
 
@@ -258,20 +257,43 @@ def _sql() -> str:
 cells AS MATERIALIZED (SELECT s, l, p, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0)"""
     for m in "slp":
         out += f""",
-target_{m} AS MATERIALIZED (
-  SELECT {m}, w / sum(w) OVER () AS target FROM (SELECT {m}, pow(CAST(sum(tokens) AS DOUBLE), {TEMPER}) AS w FROM cells GROUP BY ALL))"""
-    out += ",\nr0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS share FROM cells)"
-    step = 0
-    for _ in range(SWEEPS):
-        for m in "slp":
-            out += f""",
-r{step + 1} AS MATERIALIZED (SELECT r.* REPLACE (share * target / sum(share) OVER (PARTITION BY r.{m}) AS share)
-  FROM r{step} r JOIN target_{m} t ON r.{m} = t.{m})"""
-            step += 1
-    return out + f""",
-fitted AS (SELECT s, l, p, share, least(1.0, share * (SELECT sum(tokens) FROM cells) * {BUDGET} / tokens) AS prob FROM r{step})
+value_{m} AS (
+  SELECT {m}, pow(CAST(sum(tokens) AS DOUBLE), {TEMPER}) AS w, CAST(sum(tokens) AS DOUBLE) AS most FROM cells GROUP BY ALL),
+aim_{m} AS (
+  SELECT *, ({BUDGET} * sum(most) OVER () - coalesce(sum(most) OVER (win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(target) OVER (win ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a
+  FROM (SELECT *, w / sum(w) OVER () AS target FROM value_{m}) WINDOW win AS (ORDER BY target / most DESC, {m})),
+goal_{m} AS MATERIALIZED (
+  SELECT {m}, target, coalesce(least(most, target * max(a) FILTER (a * target <= most) OVER ()), most) AS goal FROM aim_{m})"""
+    # One sweep: a factor for each margin in turn, so that its goals are met under the bound of 1.
+    rows = "fitting WHERE NOT done AND k < " + str(MOST_SWEEPS)
+    for m in "slp":
+        o = [n for n in "slp" if n != m]
+        rows = f"""(SELECT * EXCLUDE (w, a) REPLACE (
+      coalesce(max(a) FILTER (a * w <= 1 + 1e-12) OVER (PARTITION BY {m}), 1 / min(w) OVER (PARTITION BY {m})) AS by_{m}) FROM (
+      SELECT *, (goal_{m} - coalesce(sum(tokens) OVER (win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(tokens * w) OVER (win ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a
+      FROM (SELECT *, by_{o[0]} * by_{o[1]} AS w FROM {rows}) WINDOW win AS (PARTITION BY {m} ORDER BY w DESC, {o[0]}, {o[1]})))"""
+    off = ", ".join(f"abs(sum(tokens * prob) OVER (PARTITION BY {m}) - goal_{m})" for m in "slp")
+    margins = {"s": "source", "l": "lang", "p": "topic"}
+    shares = ", ".join(f"target_{m}, sum(share) OVER (PARTITION BY {m}) AS share_{m}" for m in "slp")
+    reported = ", ".join(f"round(target_{m}, 9) AS {n}_target, round(share_{m}, 9) AS {n}_share" for m, n in margins.items())
+    return out.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + f""",
+start AS MATERIALIZED (
+  SELECT s, l, p, CAST(tokens AS DOUBLE) AS tokens, a.goal AS goal_s, b.goal AS goal_l, c.goal AS goal_p,
+         a.target AS target_s, b.target AS target_l, c.target AS target_p
+  FROM cells JOIN goal_s a USING (s) JOIN goal_l b USING (l) JOIN goal_p c USING (p)),
+fitting AS (
+  SELECT 0 AS k, false AS done, CAST(1 AS DOUBLE) AS by_s, CAST(1 AS DOUBLE) AS by_l, CAST(1 AS DOUBLE) AS by_p,
+         CAST(1 AS DOUBLE) AS prob, * FROM start
+  UNION ALL
+  SELECT k + 1, max(off) OVER () <= {TOLERANCE} * sum(tokens * prob) OVER () AS done, by_s, by_l, by_p, prob, * EXCLUDE (k, done, by_s, by_l, by_p, prob, off)
+  FROM (SELECT *, greatest({off}) AS off FROM (SELECT * REPLACE (least(1.0, by_s * by_l * by_p) AS prob) FROM {rows}))),
+fitted AS (
+  SELECT s, l, p, prob, share, {shares}
+  FROM (SELECT *, tokens * prob / sum(tokens * prob) OVER () AS share FROM fitting WHERE k = (SELECT max(k) FROM fitting)))
 SELECT d.doc_id, d.s AS source, d.l AS lang, d.p AS topic, d.tokens, round(coalesce(share, 0), 9) AS cell_share,
-       round(coalesce(prob, {BUDGET}), 7) AS probability, d.draw < coalesce(prob, {BUDGET}) AS kept
+       round(coalesce(prob, {BUDGET}), 7) AS probability, d.draw < coalesce(prob, {BUDGET}) AS kept, {reported}
 FROM d LEFT JOIN fitted f ON d.s = f.s AND d.l = f.l AND d.p = f.p"""
 
 
