@@ -141,8 +141,13 @@ RUNS = BOTH + """, vr AS (SELECT * FROM vfc WHERE NOT (method = 'Seasonal Naive'
 vt AS (SELECT *, max(row_idx) OVER (PARTITION BY series_id, method, metric) - row_idx AS tail_idx FROM vr), tt AS (SELECT *, max(row_idx) OVER (PARTITION BY series_id, method, metric) - row_idx AS tail_idx FROM tr),
 va AS (SELECT series_id, metric, tail_idx, max(actual) FILTER (method = 'Persistence') AS actual, max(predicted) FILTER (method = 'Persistence') AS p0, max(predicted) FILTER (method = 'Moving Average') AS p1, max(predicted) FILTER (method = 'Seasonal Naive') AS p2 FROM vt GROUP BY ALL HAVING count(*) = 3),
 ta AS (SELECT series_id, metric, tail_idx, max(actual) FILTER (method = 'Persistence') AS actual, max(predicted) FILTER (method = 'Persistence') AS p0, max(predicted) FILTER (method = 'Moving Average') AS p1, max(predicted) FILTER (method = 'Seasonal Naive') AS p2 FROM tt GROUP BY ALL HAVING count(*) = 3)"""
-STACKED = RUNS + """, lat AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM range(0, 11) x(a), range(0, 11) y(b) WHERE a + b <= 10),
-ls AS (SELECT series_id, metric, k, a / 10.0::DOUBLE AS w0, b / 10.0::DOUBLE AS w1, (10 - a - b) / 10.0::DOUBLE AS w2, avg(abs(a / 10.0::DOUBLE * p0 + b / 10.0::DOUBLE * p1 + (10 - a - b) / 10.0::DOUBLE * p2 - actual)) AS mae FROM va, lat GROUP BY ALL),
+# Every run alone, all alike, and 3,000 draws: the same vectors as L.weight_vectors.
+STACKED = RUNS + """, draws AS MATERIALIZED (
+  SELECT k, i, -ln((CAST(('0x' || substr(md5('7:' || k || ':' || i), 1, 8))::UBIGINT AS DOUBLE) + 1) / 4294967296.0::DOUBLE) AS e FROM range(3000) a(k), range(3) b(i)),
+vectors AS MATERIALIZED (
+  SELECT k + 4 AS k, max(e) FILTER (i = 0) / sum(e) AS w0, max(e) FILTER (i = 1) / sum(e) AS w1, max(e) FILTER (i = 2) / sum(e) AS w2 FROM draws GROUP BY k
+  UNION ALL SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0, 1, 0), (2, 0, 0, 1), (3, 1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE))),
+ls AS (SELECT series_id, metric, k, w0, w1, w2, avg(abs(w0 * p0 + w1 * p1 + w2 * p2 - actual)) AS mae FROM va, vectors GROUP BY ALL),
 sw AS (SELECT series_id, metric, arg_min(w0, (round(mae, 9), k)) AS w0, arg_min(w1, (round(mae, 9), k)) AS w1, arg_min(w2, (round(mae, 9), k)) AS w2, min(mae) AS val_mae FROM ls GROUP BY ALL)"""
 
 
@@ -157,15 +162,15 @@ def _(spark, sf):
     return r8(L.align_tails(runs_of(spark, sf)[1], METHODS))
 
 
-@query("m09_stacking_weights", STACKED + "SELECT series_id, metric, w0, w1, w2, round(val_mae, 8) AS val_mae FROM sw")
+@query("m09_stacking_weights", STACKED + "SELECT series_id, metric, round(w0, 8) AS w0, round(w1, 8) AS w1, round(w2, 8) AS w2, round(val_mae, 8) AS val_mae FROM sw")
 def _(spark, sf):
-    return r8(L.stacking_weights(runs_of(spark, sf)[0], METHODS, 10))
+    return r8(L.stacking_weights(runs_of(spark, sf)[0], METHODS))
 
 
 @query("m09_stacked_forecasts", STACKED + "SELECT series_id, metric, tail_idx, round(actual, 8) AS actual, round(w0 * p0 + w1 * p1 + w2 * p2, 8) AS predicted FROM ta JOIN sw USING (series_id, metric)")
 def _(spark, sf):
     val, test = runs_of(spark, sf)
-    return r8(L.stack(test, L.stacking_weights(val, METHODS, 10), METHODS))
+    return r8(L.stack(test, L.stacking_weights(val, METHODS), METHODS))
 
 
 @query(

@@ -6,8 +6,10 @@ the shuffle, so only one partial row per series, metric and grid point moves.
 
 from __future__ import annotations
 
-from itertools import combinations
+import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telespan.functions import quality as Q
@@ -183,38 +185,64 @@ def align_tails(forecasts: DataFrame, methods: list[str]) -> DataFrame:
     )
 
 
-def simplex(parts: int, steps: int) -> list[list[float]]:
-    """All weight vectors of ``parts`` multiples of 1/steps that sum to 1, in a fixed order."""
-    out = []
-    for bars in combinations(range(steps + parts - 1), parts - 1):
-        edges = [-1, *bars, steps + parts - 1]
-        out.append([(edges[i + 1] - edges[i] - 1) / steps for i in range(parts)])
-    return out
+VECTORS = 3_000  # weight vectors drawn
+SCORED_ROWS = 20_000  # rows scored by one group
+SUMMED = 1_000  # partial sums added by one group
 
 
-def stacking_weights(validation: DataFrame, methods: list[str], steps: int = 20) -> DataFrame | None:
+def weight_vectors(runs: int, count: int = VECTORS, seed: int = 7) -> np.ndarray:
+    """Convex weights, one row each: every run alone, all alike, then ``count`` uniform draws from the simplex.
+
+    A draw divides exponential variables, from the first 32 bits of the digest of seed, number and run, by their sum.
+    """
+    digest = lambda k, i: int(hashlib.md5(f"{seed}:{k}:{i}".encode()).hexdigest()[:8], 16)
+    drawn = -np.log((np.array([[digest(k, i) for i in range(runs)] for k in range(count)], dtype=np.float64) + 1) / 2.0**32)
+    return np.vstack([np.eye(runs), np.full((1, runs), 1.0 / runs), drawn / drawn.sum(axis=1, keepdims=True)])
+
+
+def stacking_weights(validation: DataFrame, methods: list[str], count: int = VECTORS) -> DataFrame | None:
     """M-09: convex weights per series and metric with the lowest validation MAE. Under two runs: none.
 
-    A lattice replaces unseeded random draws, so a result can be repeated.
+    Any number of runs: the vectors are drawn by hash, so a result can be repeated,
+    and a group of rows scores all of them as one product of matrices. Groups
+    hand on an array of sums, which are added up in two steps; no row is copied.
     """
     if len(methods) < 2:
         return None
-    names = [f"w{i}" for i in range(len(methods))]
-    lattice = simplex(len(methods), steps)
-    points = F.array(
-        *[F.struct(F.lit(k).alias("_k"), *[F.lit(v).alias(n) for n, v in zip(names, ws)]) for k, ws in enumerate(lattice)]
-    )
-    mixed = sum((F.col(n) * F.col(f"p{i}") for i, n in enumerate(names)), F.lit(0.0))
-    scored = (
-        align_tails(validation, methods)
-        .select(*BY, "actual", *[f"p{i}" for i in range(len(methods))], F.inline(points))
-        .groupBy(*BY, "_k", *names)
-        .agg(F.avg(F.abs(mixed - F.col("actual"))).alias("_mae"))
-    )
-    best = scored.groupBy(*BY).agg(
-        F.min_by(F.struct(*names), F.struct(F.round("_mae", DIGITS), "_k")).alias("_w"), F.min("_mae").alias("val_mae")
-    )
-    return best.select(*BY, *[F.col(f"_w.{n}").alias(n) for n in names], "val_mae")
+    names = [f"p{i}" for i in range(len(methods))]
+    vectors = weight_vectors(len(methods), count)
+    partial_type = "series_id string, metric string, piece bigint, n bigint, sums array<double>"
+
+    def row(key, piece: int, n: int, sums: np.ndarray) -> pa.Table:
+        columns = [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.string()), pa.array([piece]), pa.array([n])]
+        return pa.table([*columns, pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["series_id", "metric", "piece", "n", "sums"])
+
+    def scored(key, group):
+        runs = np.column_stack([group[c].to_numpy() for c in names])
+        actual, sums = group["actual"].to_numpy(), np.zeros(len(vectors))
+        for i in range(0, len(runs), 500):  # bounds the matrix of errors
+            sums += np.abs(runs[i : i + 500] @ vectors.T - actual[i : i + 500, None]).sum(axis=0)
+        return row(key, key[2].as_py() // SUMMED, len(runs), sums)
+
+    def added(group: pa.Table) -> tuple[int, np.ndarray]:
+        sums = group["sums"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        return sum(group["n"].to_pylist()), sums.sum(axis=0)
+
+    def summed(key, group):
+        return row(key, 0, *added(group))
+
+    def chosen(key, group):
+        n, sums = added(group)
+        # The first of equal scores wins.
+        best = int(np.argmin(np.round(sums / n, DIGITS)))
+        out = {"series_id": [key[0].as_py()], "metric": [key[1].as_py()], **{f"w{i}": [float(w)] for i, w in enumerate(vectors[best])}}
+        return pa.table(out | {"val_mae": [float(sums.min() / n)]})
+
+    rows = align_tails(validation, methods).select(*BY, "actual", *names, F.floor(F.col("tail_idx") / SCORED_ROWS).alias("piece"))
+    parts = rows.groupBy(*BY, "piece").applyInArrow(scored, partial_type)
+    parts = parts.groupBy(*BY, "piece").applyInArrow(summed, partial_type)
+    weights = ", ".join(f"w{i} double" for i in range(len(methods)))
+    return parts.groupBy(*BY).applyInArrow(chosen, f"series_id string, metric string, {weights}, val_mae double")
 
 
 def stack(test: DataFrame, weights: DataFrame, methods: list[str]) -> DataFrame:
