@@ -307,6 +307,22 @@ def test_passed_series_leave_and_exhausted_ones_fall_back(candidates, spark):
     assert set(got) == {"s0", "s2"} and got["s0"] == names[8 % 8]
 
 
+def test_spike_ablation_has_paired_seeds(rows, spark):
+    out = sweep.spike_ablation(rows, (7, 17), sequence_length=24, trees=8).toPandas()
+    assert len(out) == 3 * 2 * 3 * 3 and set(out.seed) == {7, 17} and set(out.series_id) == {"s0", "s1", "s2"}
+    assert out.groupby(["condition", "seed"]).size().tolist() == [9] * 6
+    # Without weights the seeds alone differ; the same seed and condition give the same errors by themselves.
+    chosen = of(rows, trainer="enhanced", candidate_id="x", sequence_length=24, trees=8, seed=17, spike_weight=0.0)
+    none = F.lit(None).cast("array<double>")
+    forecasts, thresholds, _ = sweep.run_candidates(rows, chosen.withColumns({"lift_near": none, "lift_factors": none}))
+    alone = sweep.scored(rows, chosen, forecasts, thresholds).filter("method = 'Model'").toPandas()
+    both = out[(out.condition == "no_spike_weighting") & (out.seed == 17)].merge(
+        alone, left_on=["series_id", "feature"], right_on=["series_id", "metric"], suffixes=("", "_alone")
+    )
+    assert len(both) == 9 and np.allclose(both.mae, both.mae_alone)
+    assert out.groupby(["condition", "feature"]).mae.std().max() > 0
+
+
 def test_settings_come_from_the_arguments(candidates):
     got = {r.candidate_id: r for r in sweep.settings_of(candidates.filter("series_id = 's0'")).collect()}
     assert len(got) == 8
