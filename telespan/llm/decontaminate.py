@@ -153,8 +153,9 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
-    return judged(docs, benchmark).where("NOT contaminated").select(*docs.columns)
+    """The documents that are not contaminated, with their columns, whatever their names."""
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    return judged(whole, benchmark).where("NOT contaminated").select("document.*")
 
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -230,7 +230,7 @@ def fit(described: DataFrame, targets: dict[str, dict[str, float]] | None = None
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
     """All documents with mix_* columns; mix_kept marks the sample."""
     described = describe(docs)
-    cells = fit(described, targets, budget)
+    cells = fit(described, targets, budget).withColumnRenamed("share", "mix_share")
     cells = cells.select(*[F.col(n).alias(f"of_{n}") for n in MARGINS], *[c for c in cells.columns if c not in MARGINS])
     same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"of_{n}") for n in MARGINS])
     # A cell may hold a third of all documents: the few cells go to the documents, or Spark splits the skewed join.
@@ -306,7 +306,7 @@ def op2_mixing(spark, sf):
         F.col("mix_lang").alias("lang"),
         F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("tokens"),
-        F.round(F.coalesce("share", F.lit(0.0)), 9).alias("cell_share"),
+        F.round(F.coalesce("mix_share", F.lit(0.0)), 9).alias("cell_share"),
         F.round("mix_probability", 7).alias("probability"),
         F.col("mix_kept").alias("kept"),
         *[F.round(f"{n}_{k}", 9).alias(f"{n.removeprefix('mix_')}_{k}") for n in MARGINS for k in ("target", "share")],

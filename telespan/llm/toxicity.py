@@ -302,8 +302,9 @@ def score(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below one half, with their columns."""
-    return score(docs, learn(docs, labels)).where("toxicity.score < 0.5").select(*docs.columns)
+    """The documents that score below one half, with their columns, whatever their names."""
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    return score(whole, learn(docs, labels)).where("toxicity.score < 0.5").select("document.*")
 
 
 @query("op7_toxicity")
