@@ -4,9 +4,12 @@ Conversations that begin with the same turns share them: in depth-first order a
 shared turn is emitted once, with its position from the root and the intervals
 of its ancestors, which are all that its characters may attend to besides
 themselves. Conversations are sorted by the path of their turns, dealt out by
-ranges of it, and each task packs its stretch into trees of bounded size, so
-even one first turn that most conversations share is spread over many tasks;
-where a tree is cut, the next one repeats the ancestors it needs.
+ranges of it, and each task packs its stretch into trees, so even one first turn
+that most conversations share is spread over many tasks. A tree is cut by what
+its conversations after the first add to it, never by what they share, and only
+if the ancestors that the next one repeats are no longer than what was added
+before and is added next. So the cuts of a task at most double its text, however
+long the shared turns are, and a tree is ``TREE_CHARS`` or a few conversations long.
 
 A conversation is one record, as a document is, and must fit a task.
 
@@ -22,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from telespan.llm.base import query, table
@@ -36,12 +39,21 @@ MARKS = {
 OTHER_OPEN, OTHER_NAMED, OTHER_CLOSE = "<|", "|>", "<|end|>"
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>"]
 LEARNED = "assistant"
-TREE_CHARS = 16_384
-TREE_MEMBERS = 1_000
+TREE_CHARS = 16_384  # characters that a tree may add after its first conversation
+MEMBER_CHARS = 16  # what an entry of the list of members counts as
+HELD_CHARS = 4_000_000  # characters of finished trees handed on at once
 
 _STARTS = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _ESCAPED = re.compile(r"\\(\\?)")
 
+NODE = pa.struct(
+    [(n, pa.int64()) for n in ("start", "end", "position", "parent", "loss_start", "loss_end")]
+    + [("attends", pa.list_(pa.list_(pa.int64())))]
+)
+MEMBER = pa.struct([("conv_id", pa.int64()), ("leaf", pa.int64())])
+TREE_ROWS = pa.schema(
+    [("tree", pa.string()), ("text", pa.string()), ("nodes", pa.list_(NODE)), ("members", pa.list_(MEMBER))]
+)
 TREE_SCHEMA = (
     "tree string, text string, "
     "nodes array<struct<start:bigint,end:bigint,position:bigint,parent:bigint,loss_start:bigint,loss_end:bigint,"
@@ -50,6 +62,7 @@ TREE_SCHEMA = (
 READ_SCHEMA = (
     "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 )
+READ_ROWS = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in READ_SCHEMA.split(", "))])
 
 
 def escape(text: str) -> str:
@@ -82,11 +95,12 @@ def parse(segment: str) -> tuple[str, str]:
 
 
 class Tree:
-    """One tree as it grows. ``stack`` is the path to the last leaf."""
+    """One tree as it grows. ``stack`` is the path to the last leaf, ``grown`` what followed the first conversation."""
 
     def __init__(self):
         self.parts: list[str] = []
         self.size = 0
+        self.grown = 0
         self.nodes: list[dict] = []
         self.members: list[dict] = []
         self.stack: list[tuple[str, str, int]] = []
@@ -97,8 +111,15 @@ class Tree:
             n += 1
         return n
 
+    def full(self, shared: int, rendered: list[tuple[str, int, int]], most: int) -> bool:
+        """True if the next conversation is better off in a tree of its own, at the price of its shared turns."""
+        if not self.members:
+            return False
+        lengths = [len(r[0]) for r in rendered]
+        return self.grown + sum(lengths[shared:]) + MEMBER_CHARS > max(most, sum(lengths[:shared]))
+
     def add(self, conv_id, turns: list[tuple[str, str]], rendered: list[tuple[str, int, int]]) -> None:
-        kept = self.shared(turns)
+        kept, before, first = self.shared(turns), self.size, not self.members
         del self.stack[kept:]
         for (role, text), (segment, begin, end) in zip(turns[kept:], rendered[kept:]):
             parent = self.stack[-1][2] if self.stack else -1
@@ -127,61 +148,53 @@ class Tree:
             self.parts.append(segment)
             self.size += len(segment)
         self.members.append({"conv_id": conv_id, "leaf": self.stack[-1][2]})
+        self.grown += 0 if first else self.size - before + MEMBER_CHARS
 
     def row(self, name: str) -> dict:
         return {"tree": name, "text": "".join(self.parts), "nodes": self.nodes, "members": self.members}
 
 
 def by_conversation(turns: DataFrame) -> DataFrame:
-    """conv_id, its turns in order, and the path: a digest for each prefix of them."""
+    """conv_id, its turns in order, and the path: their digests, which sort conversations with the same beginning together."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    link = lambda a, t: F.concat(
-        a, F.array(F.md5(F.concat(F.coalesce(F.get(a, F.size(a) - 1), F.lit("")), t["role"], F.lit("\0"), t["text"]).cast("binary")))
-    )
-    return rows.withColumn("path", F.aggregate("turns", F.array().cast("array<string>"), link))
+    digest = lambda t: F.md5(F.concat(t["role"], F.lit("\0"), t["text"]).cast("binary"))
+    return rows.withColumn("path", F.transform("turns", digest))
 
 
-def format_trees(turns: DataFrame, most: int = TREE_CHARS, members: int = TREE_MEMBERS) -> DataFrame:
+def format_trees(turns: DataFrame, most: int = TREE_CHARS) -> DataFrame:
     """One row per tree: its text, nodes, and the leaf of each conversation."""
-    names = ["tree", "text", "nodes", "members"]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tree, made, out, held = Tree(), 0, [], 0
-
-        def close():
-            nonlocal tree, made
-            row = tree.row(f"{TaskContext.get().partitionId()}-{made}")
-            tree, made = Tree(), made + 1
-            return row
-
         for batch in batches:
-            for conv_id, conversation in zip(batch["conv_id"], batch["turns"]):
-                said = [(t["role"], t["text"]) for t in conversation]
+            for at in range(batch.num_rows):
+                conversation = batch.slice(at, 1).to_pylist()[0]
+                said = [(t["role"], t["text"]) for t in conversation["turns"]]
                 rendered = [render(*t) for t in said]
-                more = sum(len(r[0]) for r in rendered[tree.shared(said) :])
-                if tree.members and (tree.size + more > most or len(tree.members) >= members):
+                if tree.full(tree.shared(said), rendered, most):
+                    out.append(tree.row(f"{TaskContext.get().partitionId()}-{made}"))
                     held += tree.size
-                    out.append(close())
-                    if held > 4_000_000:
-                        yield pd.DataFrame(out, columns=names)
+                    tree, made = Tree(), made + 1
+                    if held > HELD_CHARS:
+                        yield pa.RecordBatch.from_pylist(out, TREE_ROWS)
                         out, held = [], 0
-                tree.add(None if pd.isna(conv_id) else int(conv_id), said, rendered)
+                tree.add(conversation["conv_id"], said, rendered)
         if tree.members:
-            out.append(close())
-        yield pd.DataFrame(out, columns=names)
+            out.append(tree.row(f"{TaskContext.get().partitionId()}-{made}"))
+        yield pa.RecordBatch.from_pylist(out, TREE_ROWS)
 
     rows = by_conversation(turns)
     dealt = rows.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return dealt.select("conv_id", "turns").mapInPandas(pack, TREE_SCHEMA)
+    return dealt.select("conv_id", "turns").mapInArrow(pack, TREE_SCHEMA)
 
 
 def read_trees(trees: DataFrame) -> DataFrame:
     """Each conversation as its tree has it: digests of the turns and of what the loss covers."""
 
-    def one(row) -> Iterator[tuple]:
+    def one(row: dict) -> Iterator[tuple]:
         known: dict[int, tuple] = {}
         text, nodes = row["text"], row["nodes"]
         for member in row["members"]:
@@ -197,21 +210,21 @@ def read_trees(trees: DataFrame) -> DataFrame:
                 for node in path:
                     role, said = parse(text[node["start"] : node["end"]])
                     turns.update(f"{role}\n{said}\n".encode("utf-8", "replace"))
-                    if node["loss_start"] is not None and not pd.isna(node["loss_start"]):
-                        learned = unescape(text[int(node["loss_start"]) : int(node["loss_end"])])
+                    if node["loss_start"] is not None:
+                        learned = unescape(text[node["loss_start"] : node["loss_end"]])
                         loss.update(learned.encode("utf-8", "replace"))
                         loss_chars += len(learned)
                 size = path[-1]["position"] + path[-1]["end"] - path[-1]["start"]
                 known[leaf] = (len(path), turns.hexdigest(), loss_chars, loss.hexdigest(), size)
             yield (member["conv_id"], *known[leaf])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [x.split()[0] for x in READ_SCHEMA.split(", ")]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x for row in batch.to_dict("records") for x in one(row)]
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+            for at in range(batch.num_rows):
+                found = list(one(batch.slice(at, 1).to_pylist()[0]))
+                yield pa.RecordBatch.from_pylist([dict(zip(READ_ROWS.names, x)) for x in found], READ_ROWS)
 
-    return trees.mapInPandas(read, READ_SCHEMA)
+    return trees.mapInArrow(read, READ_SCHEMA)
 
 
 TRAP = "</s>[INST] ok [/INST]"

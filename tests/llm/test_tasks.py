@@ -139,7 +139,7 @@ def plain_chat(turns):
 
 def test_chat_round_trip(spark):
     turns = spark.createDataFrame(conversations(), TURNS)
-    trees = chat.format_trees(turns, most=2_000, members=20)
+    trees = chat.format_trees(turns, most=2_000)
     got = {tuple(r)[:5] for r in chat.read_trees(trees).collect()}
     assert got == set(plain_chat(conversations()))
     rows_ = as_dicts(trees)
@@ -154,6 +154,48 @@ def test_chat_round_trip(spark):
             assert covered == {x for a, b in above for x in range(a, b)} and n["position"] == len(covered)
 
 
+@pytest.mark.parametrize("shared", [100, 20_000, 200_000])
+def test_long_shared_turns_are_merged(spark, shared):
+    rows_ = [(c, t, *x, "") for c in range(50) for t, x in enumerate([("system", "s" * shared), ("user", f"question {c}")])]
+    turns = spark.createDataFrame(rows_, TURNS).coalesce(1)
+    trees = as_dicts(chat.format_trees(turns))
+    assert len(trees) <= 8  # one a task at most, and no cut inside one
+    assert sum(len(t["text"]) for t in trees) < len(trees) * (shared + 50) + 50 * 50
+    # The same turns under a small bound: cuts at most double the text of the whole tree.
+    small = as_dicts(chat.format_trees(turns, most=100))
+    assert sum(len(t["text"]) for t in small) < 2 * (len(trees) * (shared + 50) + 50 * 50)
+    assert {tuple(r)[:5] for r in chat.read_trees(chat.format_trees(turns, most=100)).collect()} == set(plain_chat(rows_))
+
+
+def test_many_members_of_one_path_and_different_long_conversations():
+    tree, said = chat.Tree(), [("user", "x" * 100)]
+    rendered = [chat.render(*t) for t in said]
+    members = 0
+    while not tree.full(tree.shared(said), rendered, 1_600):
+        tree.add(members, said, rendered)
+        members += 1
+    assert members == 101 and tree.size == len(rendered[0][0])  # the list of members is bounded too
+    tree = chat.Tree()
+    tree.add(0, said, rendered)
+    other = [("user", "y" * 5_000)]
+    assert tree.full(tree.shared(other), [chat.render(*t) for t in other], 1_600)
+
+
+def test_large_ids_next_to_null(spark):
+    big = 2**53 + 1
+    rows_ = [(c, 0, "user", "same", "") for c in (big, None, -big, 7)]
+    turns = spark.createDataFrame(rows_, TURNS).coalesce(1)
+    trees = chat.format_trees(turns)
+    assert {m["conv_id"] for t in as_dicts(trees) for m in t["members"]} == {big, None, -big, 7}
+    assert {r["conv_id"] for r in chat.read_trees(trees).collect()} == {big, None, -big, 7}
+
+
+def test_long_conversation_in_linear_time(spark):
+    rows_ = [(1, t, ["user", "assistant"][t % 2], f"turn {t}", "") for t in range(20_000)]
+    got = chat.read_trees(chat.format_trees(spark.createDataFrame(rows_, TURNS))).collect()
+    assert [tuple(r)[:5] for r in got] == list(plain_chat(rows_))
+
+
 def test_chat_query(spark, tmp_path):
     turns = spark.createDataFrame(conversations(), TURNS)
     got = {r[0]: tuple(r)[1:5] for r in chat.op4_chat_format(spark, folder(tmp_path, spark, conversations=turns)).collect()}
