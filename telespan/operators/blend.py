@@ -1,7 +1,10 @@
 """Blending, calibration, stacking and specialists (J-02, J-10, M-05 .. M-10, M-14, P-23).
 
-A parameter grid has a fixed size. It is generated per row and aggregated before
-the shuffle, so only one partial row per series, metric and grid point moves.
+Along a grid of weights a row's error is linear but for one change of its sign,
+and its forecast passes the threshold at most once. So a row adds to the sums at
+one or two grid points, and prefix sums over them give every score; no row is
+copied for the grid. At most one partial row per series, metric and grid point
+moves. The calibration grid has three parameters and repeats rows for two.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from telespan.functions import quality as Q
 from telespan.functions import scalar as S
@@ -31,39 +34,78 @@ def _f1() -> Column:
     return Q.f1(Q.precision(F.col("tp"), F.col("fp")), Q.recall(F.col("tp"), F.col("fn")))
 
 
+def grid_scores(rows: DataFrame, steps: int, per: int, start: Column, end: Column, threshold: Column | None = None) -> DataFrame:
+    """J-10: MAE, and tp, fp and fn with a threshold, of ``w * end + (1 - w) * start`` for w = i / per, i = 0 .. steps - 1.
+
+    ``rows`` has series_id, metric, actual. The signed error of a row is
+    ``s + w * d``; from grid point ``k`` on its sign is the other one. A row is at most
+    two entries: (k, s, d) for the errors and the first point beyond the
+    threshold for the counts. Entries are added per point, at most steps + 1 for a
+    series and metric, before and after one shuffle. Rows without a forecast
+    or actual value count nowhere. MAE is exact to the rounding of sums of s and d.
+    """
+    weight = lambda i: i / F.lit(float(per))
+    s, d = start - F.col("actual"), end - start
+    divisor, never = F.when(d != 0, d), F.lit(steps).cast("bigint")
+    known = (s + d).isNotNull()
+    sign = F.when(known & (s != 0), F.signum(s)).when(known, F.when(d < 0, -1.0).otherwise(1.0))
+    k = F.when(s * d < 0, F.ceil(F.least(-s / divisor * per, F.lit(float(steps))))).otherwise(never)
+    names = ["a", "b", "n", "hit", "miss", "alarm", "quiet"]
+    none = {n: F.lit(0.0 if n in "ab" else 0).cast("double" if n in "ab" else "bigint") for n in names}
+
+    def entry(at: Column, **values: Column) -> Column:
+        return F.struct(at.alias("at"), *[v.alias(n) for n, v in (none | values).items()])
+
+    entries = [entry(k, a=sign * s, b=sign * d, n=F.when(known, 1).otherwise(0).cast("bigint"))]
+    if threshold is not None:
+        beyond = lambda i: weight(i) * end + (1.0 - weight(i)) * start > threshold
+        first, spike = start > threshold, F.col("actual") > threshold
+        # Rounding may be one point off, so the points around the crossing are compared as the plain form would.
+        near = F.floor(F.greatest(F.lit(-2.0), F.least((threshold - start) / divisor * per, F.lit(steps + 1.0))))
+        points = [near + j for j in (-1, 0, 1, 2)]
+        turn = F.least(*[F.when((x > 0) & (x < steps) & (beyond(x) != first), x) for x in points])
+        count = lambda c: F.when(known & c, 1).otherwise(0).cast("bigint")
+        kinds = {"hit": spike & first, "miss": spike & ~first, "alarm": ~spike & first, "quiet": ~spike & ~first}
+        entries.append(entry(F.coalesce(turn, never), **{n: count(c) for n, c in kinds.items()}))
+    at_points = rows.select(*BY, F.inline(F.array(*entries))).groupBy(*BY, "at").agg(*[F.sum(n).alias(n) for n in names])
+    values = F.struct(*names)
+    of_series = at_points.groupBy(*BY).agg(
+        F.map_from_entries(F.collect_list(F.struct("at", values))).alias("_points"),
+        *[F.sum(n).alias(f"all_{n}") for n in names],
+    )
+    dense = of_series.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))))
+    dense = dense.withColumn("_e", F.try_element_at("_points", F.col("_i")))
+    so_far = Window.partitionBy(*BY).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)  # one row per grid point
+    turned = {n: F.coalesce(F.sum(f"_e.{n}").over(so_far), F.lit(0)) for n in names if n != "n"}
+    w, total = weight(F.col("_i")), lambda n: F.coalesce(f"all_{n}", F.lit(0))
+    error = total("a") - 2.0 * turned["a"] + w * (total("b") - 2.0 * turned["b"])
+    scores = {"_mae": error / F.nullif(F.col("all_n"), F.lit(0))}
+    if threshold is not None:
+        swapped = lambda x, y: total(x) - turned[x] + turned[y]
+        scores |= {"tp": swapped("hit", "miss"), "fp": swapped("alarm", "quiet"), "fn": swapped("miss", "hit")}
+    return dense.select(*BY, F.col("_i").cast("int").alias("_i"), *[c.alias(n) for n, c in scores.items()])
+
+
 def two_learner_weights(rows: DataFrame, steps: int = 41, q: float = 0.90) -> DataFrame:
     """M-05: weight of ``first`` against ``second`` per series and metric.
 
     ``rows``: series_id, metric, actual, first, second of the validation part.
     """
-    limits = exact_quantile(rows, BY, "actual", q).join(
-        rows.groupBy(*BY).agg(F.stddev_pop("actual").alias("_std")), BY
-    )
-    grid = lookup(rows, limits, BY).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    spread = rows.groupBy(*BY).agg(F.stddev_pop("actual").alias("_std"))
+    limits = exact_quantile(rows, BY, "actual", q)
+    placed = lookup(rows, limits, BY)
+    grid = grid_scores(placed, steps, steps - 1, F.col("second"), F.col("first"), F.col("threshold"))
     w = F.col("_i") / float(steps - 1)
-    blended = w * F.col("first") + (1.0 - w) * F.col("second")
-    scored = (
-        grid.withColumn("_p", blended)
-        .groupBy(*BY, "_i")
-        .agg(
-            F.max("_std").alias("_std"),
-            F.avg(F.abs(F.col("_p") - F.col("actual"))).alias("_mae"),
-            *[c.alias(n) for n, c in _counts(F.col("_p"), F.col("threshold")).items()],
-        )
-        .withColumn("_score", F.col("_mae") + 0.20 * F.col("_std") * (1.0 - _f1()))
-    )
+    scored = grid.join(spread, BY).withColumn("_score", F.col("_mae") + 0.20 * F.col("_std") * (1.0 - _f1()))
     best = scored.groupBy(*BY).agg(F.min_by("_i", F.struct(F.round("_score", DIGITS), "_i")).alias("_i"))
     return best.select(*BY, w.alias("first_weight"), (1.0 - w).alias("second_weight"))
 
 
 def persistence_weights(rows: DataFrame) -> DataFrame:
     """M-06: weight of persistence on a grid of 0.00 .. 0.95. ``rows`` has actual, predicted, persistence."""
-    w = F.col("_i") * 5 / 100.0
-    grid = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    blended = w * F.col("persistence") + (1.0 - w) * F.col("predicted")
-    scored = grid.groupBy(*BY, "_i").agg(F.avg(F.abs(blended - F.col("actual"))).alias("_mae"))
+    scored = grid_scores(rows, 20, 20, F.col("predicted"), F.col("persistence"))
     best = scored.groupBy(*BY).agg(F.min_by("_i", F.struct(F.round("_mae", DIGITS), "_i")).alias("_i"))
-    return best.select(*BY, w.alias("persistence_weight"))
+    return best.select(*BY, (F.col("_i") * 5 / 100.0).alias("persistence_weight"))
 
 
 def calibration(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
