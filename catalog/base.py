@@ -24,6 +24,11 @@ DAY = 1440
 NUDGE = 1.3e-10
 
 
+def drawn(seed: int, *key: str) -> str:
+    """``scalar.draw`` in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 15) AS BIGINT)"
+
+
 def off_ties(sql: str) -> str:
     """``round(x, 8)`` to ``round(x + NUDGE, 8)`` in SQL text."""
     out, i = "", 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DAY, LINK_FLOWS, LINKS, flow_counts, link_flows, link_telemetry, query, r8, table, user_flows
+from catalog.base import DAY, LINKS, LINK_FLOWS, drawn, flow_counts, link_flows, link_telemetry, query, r8, table, user_flows
 from telespan.functions import scalar as S
 from telespan.operators.layout import index_rows
 from telespan.sources import counters, flows, telemetry, writers
@@ -175,16 +175,20 @@ def _(spark, sf):
 
 @query(
     "src05_first_rows",
-    "SELECT least(count(*), 500) AS n FROM events",
+    "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events ORDER BY events.ts, event_id LIMIT 500",
 )
 def _(spark, sf):
-    return telemetry.first_rows(table(spark, sf, "events").select("event_id"), 500).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf, "events").select("event_id", "ts", "value")
+    return stamped(telemetry.first_rows(rows, 500, ["ts", "event_id"]), "ts")
 
 
-@query("src05_seeded_sample")
+@query(
+    "src05_seeded_sample",
+    f"SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events ORDER BY {drawn(42, 'event_id')}, event_id LIMIT 500",
+)
 def _(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "ts", "value")
-    return telemetry.sample_rows(rows, 500, ["event_id"], seed=42)
+    return stamped(telemetry.sample_rows(rows, 500, ["event_id"], seed=42), "ts")
 
 
 # ---- flow counts ----
@@ -263,7 +267,20 @@ def _(spark, sf):
     )
 
 
-@query("w13_contiguous_slice")
+SLICED = f"""numbered AS (
+  SELECT l_suppkey AS l_ipn, l_shipdate AS date, l_linenumber AS r_asn, sum(l_quantity) AS f FROM lineitem GROUP BY ALL),
+starts AS (
+  SELECT *, row_number() OVER (PARTITION BY l_ipn ORDER BY date, r_asn) - 1 AS place,
+         {drawn(11, 'l_ipn')} % (greatest(count(*) OVER (PARTITION BY l_ipn) - 100, 0) + 1) AS start FROM numbered),
+profile AS (SELECT l_ipn, date, r_asn, f FROM starts WHERE place >= start AND place < start + 100),
+placed AS""" + PROFILE.split("placed AS", 1)[1]
+
+
+@query(
+    "w13_contiguous_slice",
+    f"""WITH {SLICED} SELECT series_id, {EPOCH} AS timestamp, tie, traffic_mbps, latency_ms, packet_loss_pct,
+  'flow-converted:l_ipn=' || series_id AS source FROM counts""",
+)
 def _(spark, sf):
     return stamped(flows.telemetry_from_counts(flow_counts(spark, sf), rows=100, seed=11))
 

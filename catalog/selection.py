@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import SCORED, THRESHOLDS, forecast_ctes, links, query, r8, table
+from catalog.base import SCORED, THRESHOLDS, drawn, forecast_ctes, links, query, r8, table
 from telespan.model import EXPERIENCE_SCHEMA, METRICS
 from telespan.operators import evaluation as E
 from telespan.operators import forecasts as C
@@ -235,7 +235,10 @@ def _(spark, sf):
     return P.last_records(context(spark, sf)[2], "data_fingerprint", 2).select("data_fingerprint", "seq")
 
 
-@query("t06_random_order")
+@query(
+    "t06_random_order",
+    LOG + CANDIDATES + f"SELECT series_id, candidate_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY {drawn(7, 'series_id', 'candidate_id')}, candidate_id) AS INT) AS rank FROM cand",
+)
 def _(spark, sf):
     return P.random_order(P.candidates(fingerprints(spark, sf)), 7)
 

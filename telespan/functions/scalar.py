@@ -147,6 +147,12 @@ def volatility_class(cv: Column) -> Column:
     return F.when(cv > 0.6, "high").when(cv > 0.25, "medium").otherwise("low")
 
 
+def draw(seed: int, *key: Column | str) -> Column:
+    """SRC-05, W-13, T-06: a number below 2**60 from the MD5 digest of ``seed:key``; any engine can repeat it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[_c(k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def fingerprint(rows: Column, volatility: Column, spike_rate: Column, traffic_std: Column) -> Column:
     """P-21: 12 hex digits over a fixed-format text; numbers are whole thousandths and hundredths."""
     payload = F.concat_ws(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from telespan.functions import scalar as S
 from telespan.functions.scalar import normalize_quality
 from telespan.operators.layout import CHUNK_ROWS, index_rows
 
@@ -247,7 +248,7 @@ def rule_fallback(table: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def random_order(table: DataFrame, seed: int = 7) -> DataFrame:
     """T-06: the same shuffled order for the same seed. Eight rows per series."""
-    w = Window.partitionBy("series_id").orderBy(F.xxhash64("candidate_id", "series_id", F.lit(seed)), "candidate_id")
+    w = Window.partitionBy("series_id").orderBy(S.draw(seed, "series_id", "candidate_id"), "candidate_id")
     return table.select("series_id", "candidate_id", F.row_number().over(w).alias("rank"))
 
 

@@ -82,7 +82,7 @@ def most_active(df: DataFrame) -> DataFrame:
 def slice_start(key: Column, n_rows: Column, length: int, seed: int) -> Column:
     """W-13: a seeded start for a contiguous slice, the same on every run."""
     room = F.greatest(n_rows - length, F.lit(0))
-    return F.pmod(F.xxhash64(key, F.lit(seed)), room + 1)
+    return F.pmod(S.draw(seed, key), room + 1)
 
 
 def telemetry_from_counts(

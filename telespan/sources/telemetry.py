@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from telespan.functions import scalar as S
 from telespan.functions.scalar import calendar, finite, time_column
 from telespan.model import METRICS, TELEMETRY_SCHEMA, require_columns
-from telespan.operators.layout import lookup
+from telespan.operators.layout import lookup, row_hash
 
 MIN_ROWS = 30
 
@@ -41,18 +42,48 @@ def rejected(df: DataFrame, key: str = "series_id", min_rows: int = MIN_ROWS) ->
     return clean(df, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") < min_rows)
 
 
-def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """SRC-05: first-N read."""
-    return df.limit(n)
+def first_rows(df: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
+    """SRC-05: first-N read; with ``order`` the same rows on every run."""
+    return df.orderBy(*order).limit(n) if order else df.limit(n)
+
+
+DRAW_BITS, LEVEL_BITS = 60, 12
 
 
 def sample_rows(df: DataFrame, n: int, order: list[str], seed: int = 42) -> DataFrame:
-    """SRC-05: ``n`` rows without replacement, the same rows for the same seed.
+    """SRC-05: ``n`` rows without replacement, the same rows for the same seed; all rows if there are fewer.
 
-    A seeded hash of the identifying columns orders the rows; the top-n runs as
-    a per-partition heap followed by one merge.
+    A draw per row, from the identifying columns, decides. Two counts of
+    4,096 cells each find the cell of the draw in which the n-th row lies; only
+    rows up to it are kept, and only that cell, about one in 16 million rows, is
+    ranked. So neither a task nor the driver ever holds the sample. Rows that
+    tie in draw and ``order`` are taken by a hash of the row.
     """
-    return df.orderBy(F.xxhash64(*order, F.lit(seed)), *order).limit(n)
+    cells = 1 << LEVEL_BITS
+    drawn = df.select(S.draw(seed, *order).alias("_draw")).withColumn("_cell", F.shiftright("_draw", DRAW_BITS - 2 * LEVEL_BITS))
+
+    def cell_of_last(rows: DataFrame, cell: Column, wanted: Column) -> DataFrame:
+        """One row: the cell that holds the last wanted row, and how many rows lie before it; null if there are too few."""
+        counts = rows.groupBy(cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.max(wanted).alias("_wanted"))
+        upto = F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0))  # at most 4,096 rows
+        reached = counts.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_wanted"))
+        return reached.agg(F.min("_c").alias("_at"), F.min_by(F.col("_upto") - F.col("_n"), "_c").alias("_before"))
+
+    # Joins with single rows.
+    high = cell_of_last(drawn, F.floor(F.col("_cell") / cells), F.lit(n)).select(F.col("_at").alias("_high"), F.col("_before").alias("_skipped"))
+    inside = drawn.crossJoin(F.broadcast(high)).filter(F.floor(F.col("_cell") / cells) == F.col("_high"))
+    low = cell_of_last(inside, F.col("_cell") % cells, F.lit(n) - F.col("_skipped"))
+    last = high.crossJoin(low).select(
+        (F.col("_high") * cells + F.col("_at")).alias("_last"), (F.lit(n) - F.col("_skipped") - F.col("_before")).alias("_left")
+    )
+    cell = F.shiftright("_draw", DRAW_BITS - 2 * LEVEL_BITS)
+    kept = df.withColumns({"_draw": S.draw(seed, *order), "_tie": row_hash(df)}).crossJoin(F.broadcast(last))
+    kept = kept.filter(F.col("_last").isNull() | (cell <= F.col("_last"))).withColumn("_cell", cell)
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_draw", *order, "_tie"))
+    taken = kept.withColumn("_rank", rank).filter(
+        F.col("_last").isNull() | (F.col("_cell") < F.col("_last")) | (F.col("_rank") <= F.col("_left"))
+    )
+    return taken.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def quality_counts(df: DataFrame, key: str = "series_id") -> DataFrame:
