@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from telespan.functions import scalar as S
-from telespan.functions.stats import two_sided_p
+from telespan.functions.stats import student_t_p
 from telespan.model import METRICS, require_columns
 from telespan.operators import evaluation as E
 from telespan.operators import policy as P
@@ -11,12 +13,32 @@ from telespan.operators import significance as G
 from telespan.sources import counters, flows, runs, telemetry
 
 
-def test_p_values_match_t_tables():
+def test_p_values_match_t_tables(spark):
+    def p(*pairs):
+        rows = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, t double, df double")
+        return [r["p"] for r in rows.select("i", student_t_p(F.col("t"), F.col("df")).alias("p")).orderBy("i").collect()]
+
     # Two-sided 5 % and 1 % points of Student's t.
-    assert two_sided_p(np.array([12.7062, 2.2281, 1.9840]), np.array([1, 10, 100])) == pytest.approx(0.05, abs=2e-5)
-    assert two_sided_p(np.array([63.6567, 3.1693, 2.6259]), np.array([1, 10, 100])) == pytest.approx(0.01, abs=2e-5)
-    assert two_sided_p(np.array([0.0]), np.array([5]))[0] == pytest.approx(1.0)
-    assert 0 <= two_sided_p(np.array([80.0]), np.array([1e6]))[0] < 1e-12
+    assert p((12.7062, 1.0), (2.2281, 10.0), (1.9840, 100.0)) == pytest.approx([0.05] * 3, abs=2e-5)
+    assert p((63.6567, 1.0), (-3.1693, 10.0), (2.6259, 100.0)) == pytest.approx([0.01] * 3, abs=2e-5)
+    assert p((0.0, 5.0), (None, 5.0), (float("nan"), 5.0), (1.0, 0.0), (1.0, None)) == [1.0] * 5
+    assert p((float("inf"), 5.0), (1e200, 3.0)) == [0.0, 0.0] and 0 <= p((80.0, 1e6))[0] < 1e-12
+    # Closed forms at one and two degrees of freedom, and the normal limit.
+    ts = [1e-9, 0.01, 0.5, 1.0, 1.7, 1.74, 2.0, 5.0, 1e3, 1e7]
+    assert p(*[(t, 1.0) for t in ts]) == pytest.approx([1 - 2 * math.atan(t) / math.pi for t in ts], abs=1e-13)
+    assert p(*[(t, 2.0) for t in ts]) == pytest.approx([1 - t / math.sqrt(2 + t * t) for t in ts], abs=1e-13)
+    # Even degrees of freedom: a finite sum.
+    def even(t, df):
+        c2, term, total = df / (df + t * t), 1.0, 1.0
+        for k in range(1, df // 2):
+            term *= c2 * (2 * k - 1) / (2 * k)
+            total += term
+        return 1 - t / math.sqrt(df + t * t) * total
+
+    cases = [(t, df) for df in (4, 10, 48, 1000) for t in ts[:8]]
+    assert p(*[(t, float(df)) for t, df in cases]) == pytest.approx([even(t, df) for t, df in cases], abs=1e-12)
+    normal = [math.erfc(t / math.sqrt(2)) for t in ts[:8]]
+    assert p(*[(t, 1e12) for t in ts[:8]]) == pytest.approx(normal, abs=5e-8)
 
 
 def test_flow_log_single_bin(spark):
@@ -94,6 +116,10 @@ def test_significance(spark):
     assert dm["diff"]["dm_stat"] == pytest.approx(d.mean() / np.sqrt(d.var() / 200) * np.sqrt(199 / 200))
     assert dm["diff"]["p"] < 0.05 and t["diff"]["p"] < 0.05
     assert (dm["same"]["dm_stat"], dm["same"]["p"], t["same"]["t_stat"], t["same"]["p"]) == (0.0, 1.0, 0.0, 1.0)
+    both = {r["feature"]: r for r in G.significance(pairs).collect()}
+    for metric in ("diff", "same"):
+        assert both[metric]["diebold_mariano_stat"] == dm[metric]["dm_stat"] and both[metric]["paired_t_stat"] == t[metric]["t_stat"]
+        assert both[metric]["diebold_mariano_p_value"] == dm[metric]["p"] and both[metric]["paired_t_p_value"] == t[metric]["p"]
     # Lag terms: chunks of the series give the same statistic.
     whole, cut = G.diebold_mariano(pairs, h=4), G.diebold_mariano(pairs, h=4, chunk_rows=16)
     get = lambda df: {r["metric"]: r["dm_stat"] for r in df.collect()}
