@@ -38,7 +38,10 @@ class _Streamed:
 def finished(spark, stream, label):
     """Run a stream over the present files into a folder and read the folder."""
     path = scratch_path(spark, label)
-    live.append_telemetry(stream, path, scratch_path(spark, f"{label}-checkpoint")).awaitTermination()
+    run = live.append_telemetry(stream, path, scratch_path(spark, f"{label}-checkpoint"))
+    run.awaitTermination()
+    if n := live.dropped_rows(run):
+        logging.getLogger(__name__).warning("%s: %d partial bins came after theirs had closed", label, n)
     return spark.read.schema(stream.schema).parquet(path)
 
 

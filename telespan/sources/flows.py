@@ -13,6 +13,33 @@ HIGH_LOAD_QUANTILE = 0.88
 LABEL = "flow-converted"
 
 
+def flow_columns(df: DataFrame, key: str) -> DataFrame:
+    """Key, time and what the bins add up; absent optional columns are null, rows with an unreadable time go."""
+    require_columns(df, [key, "Timestamp"])
+
+    def optional(name: str) -> Column:
+        return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("double")
+
+    return df.select(
+        F.col(key),
+        S.time_column(df, "Timestamp").alias("_ts"),
+        S.finite(optional("Flow Bytes/s").cast("double")).alias("_rate"),
+        S.finite(optional("Flow Duration").cast("double")).alias("_duration"),
+        F.coalesce(optional("PSH Flag Count") > 0, F.lit(False)).alias("_psh"),
+        F.coalesce(optional("RST Flag Count") > 0, F.lit(False)).alias("_rst"),
+    ).filter(F.col("_ts").isNotNull())
+
+
+def bin_aggregates(bits: bool = False, clip_loss: bool = False) -> list[Column]:
+    """A-03: the three metrics of a bin, for batch and stream alike."""
+    loss = 100.0 * (F.count_if("_psh") + F.count_if("_rst")) / F.count(F.lit(1))
+    return [
+        (F.coalesce(F.sum("_rate"), F.lit(0.0)) * (8.0 if bits else 1.0) / 1e6).alias("traffic_mbps"),
+        F.coalesce(F.avg("_duration"), F.lit(0.0)).alias("latency_ms"),
+        (F.least(F.lit(100.0), loss) if clip_loss else loss).alias("packet_loss_pct"),
+    ]
+
+
 def bin_flow_log(
     df: DataFrame,
     bin_minutes: int = 1,
@@ -27,28 +54,8 @@ def bin_flow_log(
     Absent optional columns count as 0, unreadable times drop the row, and
     non-finite rates are ignored.
     """
-    require_columns(df, [key, "Timestamp"])
-
-    def optional(name: str) -> Column:
-        return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("double")
-
-    rows = df.select(
-        F.col(key),
-        S.time_column(df, "Timestamp").alias("_ts"),
-        S.finite(optional("Flow Bytes/s").cast("double")).alias("_rate"),
-        S.finite(optional("Flow Duration").cast("double")).alias("_duration"),
-        F.coalesce(optional("PSH Flag Count") > 0, F.lit(False)).alias("_psh"),
-        F.coalesce(optional("RST Flag Count") > 0, F.lit(False)).alias("_rst"),
-    ).filter(F.col("_ts").isNotNull())
-    loss = 100.0 * (F.count_if("_psh") + F.count_if("_rst")) / F.count(F.lit(1))
-    return (
-        rows.groupBy(key, S.floor_minutes("_ts", bin_minutes).alias("timestamp"))
-        .agg(
-            (F.coalesce(F.sum("_rate"), F.lit(0.0)) * (8.0 if bits else 1.0) / 1e6).alias("traffic_mbps"),
-            F.coalesce(F.avg("_duration"), F.lit(0.0)).alias("latency_ms"),
-            (F.least(F.lit(100.0), loss) if clip_loss else loss).alias("packet_loss_pct"),
-        )
-    )
+    bins = flow_columns(df, key).groupBy(key, S.floor_minutes("_ts", bin_minutes).alias("timestamp"))
+    return bins.agg(*bin_aggregates(bits, clip_loss))
 
 
 def clean_flow_counts(df: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from telespan.functions import scalar as S
 from telespan.model import METRICS
-from telespan.sources import counters
+from telespan.sources import counters, flows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,30 +24,36 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str =
     )
 
 
-def flow_bins(flows: DataFrame, minutes: int, delay: str = "10 minutes", key: str = "series_id") -> DataFrame:
-    """ST-01: the formula of the batch bins over event-time windows; a bin is emitted once, when it closes.
+def flow_bins(
+    log: DataFrame,
+    minutes: int,
+    delay: str = "10 minutes",
+    key: str = "series_id",
+    bits: bool = False,
+    clip_loss: bool = False,
+) -> DataFrame:
+    """ST-01: the bins of :func:`flows.bin_flow_log` over event-time windows, with its options; a bin is emitted once, when it closes.
 
-    Rows later than ``delay`` are dropped by the watermark; the reference has no late-data rule.
+    Rows later than ``delay`` are dropped by the watermark, where the reference
+    has no late-data rule; :func:`dropped_rows` counts them.
     """
-    rows = flows.select(
-        key,
-        F.col("Timestamp").cast("timestamp").alias("_ts"),
-        S.finite(F.col("`Flow Bytes/s`").cast("double")).alias("_rate"),
-        S.finite(F.col("`Flow Duration`").cast("double")).alias("_duration"),
-        F.coalesce(F.col("`PSH Flag Count`") > 0, F.lit(False)).alias("_psh"),
-        F.coalesce(F.col("`RST Flag Count`") > 0, F.lit(False)).alias("_rst"),
-    ).withWatermark("_ts", delay)
+    rows = flows.flow_columns(log, key).withColumn("_ts", F.col("_ts").cast("timestamp")).withWatermark("_ts", delay)
     return (
         rows.groupBy(F.window("_ts", f"{minutes} minutes").alias("_w"), key)
-        .agg(
-            (F.coalesce(F.sum("_rate"), F.lit(0.0)) / 1e6).alias("traffic_mbps"),
-            F.coalesce(F.avg("_duration"), F.lit(0.0)).alias("latency_ms"),
-            (100.0 * (F.count_if("_psh") + F.count_if("_rst")) / F.count(F.lit(1))).alias("packet_loss_pct"),
-        )
+        .agg(*flows.bin_aggregates(bits, clip_loss))
         .select(key, F.col("_w.start").cast("timestamp_ntz").alias("timestamp"), *METRICS)
     )
 
 
+def dropped_rows(run: StreamingQuery) -> int:
+    """Partial bins that came after their bin had closed, of the batches whose progress Spark still keeps.
+
+    Rows of a bin are added up before the state is asked, so what is dropped is
+    counted as at most one per late bin and task.
+    """
+    return sum(s.numRowsDroppedByWatermark for p in run.recentProgress for s in p.stateOperators)
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in event-time order, whatever order they came in.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from telespan.operators.layout import index_rows, lookup
 from telespan.operators.quantile import exact_quantile
-from telespan.sources import runs, writers
+from telespan.sources import flows, runs, writers
 from telespan.streaming import live
 
 
@@ -123,3 +123,26 @@ def test_bounded_streams_lose_no_row(spark, tmp_path, shuffled):
             errors = pd.Series([float(h * h - b * b) for h, b in zip(kept, before)])
             assert done.predicted.tolist() == [float(b * b) for b in before] and done.n.tolist() == list(range(1, len(kept) + 1))
             assert done.running_mae.tolist() == pytest.approx((errors.cumsum() / done.n.to_numpy()).tolist())
+
+
+def test_streamed_bins_have_the_options_of_the_batch(spark, tmp_path):
+    """Bits, bounded loss, absent columns, unreadable times; what comes after its bin has closed is counted."""
+    flags = ", `PSH Flag Count` int, `RST Flag Count` int"
+    for name, more in (("full", flags), ("bare", "")):
+        files = [[("00:05", 1e6), ("00:40", 3e6), ("no time", 9e9)], [("03:00", 2e6), ("04:30", 5e6)], [("05:30", 4e6)], [("00:50", 7e6), ("06:30", 1e6)]]
+        folder = f"{tmp_path}/{name}"
+        for rows in files:
+            rows = [("s", f"2024-01-01 {t}:00" if ":" in t else t, r, *([1, 1] if more else [])) for t, r in rows]
+            spark.createDataFrame(rows, f"series_id string, Timestamp string, `Flow Bytes/s` double{more}").coalesce(1).write.mode("append").parquet(folder)
+            time.sleep(1.1)  # files are read in the order of their times
+        log = spark.read.parquet(folder)
+        stream = live.read_files(spark, folder, log.schema, files=1)
+        out = live.flow_bins(stream, 60, bits=True, clip_loss=True)
+        run = live.append_telemetry(out, f"{folder}-bins", f"{folder}-checkpoint")
+        run.awaitTermination()
+        got = spark.read.parquet(f"{folder}-bins").orderBy("timestamp").collect()
+        in_time = log.where("Timestamp NOT LIKE '%00:50%'")
+        want = flows.bin_flow_log(in_time, 60, bits=True, clip_loss=True).where("timestamp < '2024-01-01 06:00'")
+        assert got == want.select(*out.columns).orderBy("timestamp").collect() and len(got) == 4
+        assert (got[0].traffic_mbps, got[0].packet_loss_pct) == (32.0, 100.0 if more else 0.0)
+        assert live.dropped_rows(run) == 1
