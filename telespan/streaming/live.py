@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -54,21 +55,27 @@ def dropped_rows(run: StreamingQuery) -> int:
     return sum(s.numRowsDroppedByWatermark for p in run.recentProgress for s in p.stateOperators)
 
 
+BUCKET_US = 60_000_000  # rows wait in buckets of one minute of event time
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in event-time order, whatever order they came in.
 
-    Rows wait in list state until the watermark has passed them, by a timer at
-    the earliest one, and are then handed on in order. So results do not depend
-    on how a stream is cut into micro-batches. A row that comes after later
-    rows of its key were handed on is passed through with ``late`` set; the last
-    rows wait until the watermark moves on or :func:`finish` takes them.
+    Rows wait in map state, in buckets of event time, each with a timer at its
+    end. Timers go off in the order of time once the watermark has passed them;
+    the bucket's rows are then handed on in order. So a batch reads and writes
+    the buckets of its own rows and those it releases, however many wait, and
+    results do not depend on how a stream is cut into micro-batches. A row that
+    comes after later rows of its key were handed on is passed through with
+    ``late`` set; the last rows wait until the watermark moves on or
+    :func:`finish` takes them.
     """
 
     time, value, kind = "ts", "value", "double"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"us long, value {self.kind}")
+        self.waiting = handle.getMapState("waiting", "bucket long", f"us array<long>, value array<{self.kind}>")
         self.newest = handle.getValueState("newest", f"us long, value {self.kind}")
 
     def step(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
@@ -77,30 +84,34 @@ class InOrder(StatefulProcessor):
     def rejected(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
         raise NotImplementedError
 
+    def _in_time(self, rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        """Rows not before the last one handed on, and the others."""
+        newest = tuple(self.newest.get()) if self.newest.exists() else None
+        late = [x for x in rows if newest and x < newest]
+        return ([x for x in rows if x >= newest] if late else rows), late
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         us = batch[self.time].to_numpy().astype("datetime64[us]").astype("int64")
-        new = list(zip(us.tolist(), batch[self.value].tolist()))
-        newest = tuple(self.newest.get()) if self.newest.exists() else None
-        late = sorted(x for x in new if newest and x < newest)
+        new, late = self._in_time(sorted(zip(us.tolist(), batch[self.value].tolist())))
         if late:
-            new = [x for x in new if x >= newest]
             yield self.rejected(key, *_columns(late))
-        yield from self._release(key, new, timerValues)
+        for bucket, added in groupby(new, lambda x: x[0] // BUCKET_US):
+            times, values = map(list, zip(*added))
+            if self.waiting.containsKey((bucket,)):
+                held = self.waiting.getValue((bucket,))
+                times, values = [*held[0], *times], [*held[1], *values]
+            self.waiting.updateValue((bucket,), (times, values))
+            self.handle.registerTimer((bucket + 1) * BUCKET_US // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, [], timerValues)
-
-    def _release(self, key, new: list[tuple], timer_values) -> Iterator[pd.DataFrame]:
-        passed = timer_values.getCurrentWatermarkInMs() * 1000
-        held = sorted([*(tuple(x) for x in self.waiting.get()), *new])
-        ready = [x for x in held if x[0] < passed]
-        held = held[len(ready) :]
-        if held:
-            self.waiting.put(held)
-            self.handle.registerTimer(held[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
+        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // BUCKET_US - 1
+        if not self.waiting.containsKey((bucket,)):
+            return
+        ready, late = self._in_time(sorted(zip(*self.waiting.getValue((bucket,)))))
+        self.waiting.removeKey((bucket,))
+        if late:
+            yield self.rejected(key, *_columns(late))
         if ready:
             self.newest.update(ready[-1])
             yield self.step(key, *_columns(ready))
@@ -127,16 +138,29 @@ def _in_order(rows: DataFrame, processor: type[InOrder], key: str, schema: str,
 def finish(tracked: DataFrame, closing, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Run a bounded stream to its end: all results, those of the rows still waiting too, and the table of late rows.
 
-    ``closing`` is the stream's batch pass over the state it left.
+    ``closing`` is the stream's batch pass over the state it left. Its rows go
+    to a folder next to the sink, which every run replaces: should the stream
+    go on later, those rows come out of it. :func:`finished` reads both.
     """
     spark = tracked.sparkSession
     append_telemetry(tracked, path, checkpoint).awaitTermination()
-    written = spark.read.schema(tracked.schema).parquet(path)
-    done = written.where("NOT late").drop("late", "late_value")
+    results = spark.createDataFrame([], tracked.drop("late", "late_value").schema)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state/0")
     if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):  # else nothing was read
-        done = done.unionByName(closing(spark, checkpoint))
-    return done, written.where("late")
+        results = closing(spark, checkpoint).select(*results.columns)
+    results.write.mode("overwrite").parquet(_closing_folder(path))
+    return finished(spark, tracked.schema, path)
+
+
+def finished(spark: SparkSession, schema: T.StructType, path: str) -> tuple[DataFrame, DataFrame]:
+    """What :func:`finish` left in its folders: results and late rows."""
+    written = spark.read.schema(schema).parquet(path)
+    done = written.where("NOT late").drop("late", "late_value")
+    return done.unionByName(spark.read.schema(done.schema).parquet(_closing_folder(path))), written.where("late")
+
+
+def _closing_folder(path: str) -> str:
+    return f"{path.rstrip('/')}-closing"
 
 
 def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
@@ -144,7 +168,8 @@ def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
 
 
 def _waiting(spark: SparkSession, checkpoint: str, key: str, state: str) -> DataFrame:
-    rows = _state(spark, checkpoint, "waiting").select(F.col(f"key.{key}").alias(key), "list_element.us", "list_element.value")
+    held = _state(spark, checkpoint, "waiting").select(F.col(f"key.{key}").alias(key), "user_map_value.us", "user_map_value.value")
+    rows = held.select(key, F.inline(F.arrays_zip("us", "value")))
     before = _state(spark, checkpoint, state).select(F.col(f"key.{key}").alias("_key"), F.col("value").alias("state"))
     return rows.join(before, F.col(key).eqNullSafe(F.col("_key")), "left")
 

@@ -116,6 +116,8 @@ def test_bounded_streams_lose_no_row(spark, tmp_path, shuffled):
         done, rejected = (x.toPandas().sort_values(at) for x in live.finish(tracked, closing, f"{tmp_path}/{name}", f"{tmp_path}/{name}-checkpoint"))
         assert done[at].dt.hour.tolist() + rejected[at].dt.hour.tolist() == kept + late
         assert rejected.late_value.tolist() == [h * h for h in late]
+        again = live.finished(spark, tracked.schema, f"{tmp_path}/{name}")[0].toPandas().sort_values(at)
+        assert again.equals(done) or again.reset_index(drop=True).equals(done.reset_index(drop=True))
         before = [0, *kept[:-1]]
         if name == "rates":
             assert done.delta.tolist() == [h * h - b * b for h, b in zip(kept, before)]
@@ -146,3 +148,29 @@ def test_streamed_bins_have_the_options_of_the_batch(spark, tmp_path):
         assert got == want.select(*out.columns).orderBy("timestamp").collect() and len(got) == 4
         assert (got[0].traffic_mbps, got[0].packet_loss_pct) == (32.0, 100.0 if more else 0.0)
         assert live.dropped_rows(run) == 1
+
+
+def test_a_batch_touches_its_own_buckets_only(spark, tmp_path):
+    """Many rows wait; a batch of one row, in a bucket of its own or in one that is there, writes a few entries."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    start = pd.Timestamp("2024-01-01 00:00:00.5")
+    first = [(start + pd.Timedelta(minutes=m), m) for m in range(300)]
+    second, third = [(start + pd.Timedelta(minutes=301), 300)], [(start + pd.Timedelta(minutes=7, seconds=-0.25), 6)]
+    for rows in (first, second, third):
+        table = pd.DataFrame([("n", t, v) for t, v in rows], columns=["node", "ts", "total"])
+        spark.createDataFrame(table).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    run = live.append_telemetry(
+        live.tracked_rates(live.read_files(spark, f"{tmp_path}/in", schema, files=1), "1000 hours"), f"{tmp_path}/held", f"{tmp_path}/held-checkpoint"
+    )
+    run.awaitTermination()
+    updated = [p.stateOperators[0].numRowsUpdated for p in run.recentProgress if p.numInputRows]
+    assert updated[0] >= 300 and all(0 < n <= 6 for n in updated[1:]), updated
+    stream = live.read_files(spark, f"{tmp_path}/in", schema, files=1)
+    for delay, late in (("1000 hours", 0), ("0 seconds", 1)):
+        name = f"{tmp_path}/{delay[:1]}"
+        done, rejected = live.finish(live.tracked_rates(stream, delay), live.closing_rates, name, f"{name}-checkpoint")
+        got = done.orderBy("ts").toPandas()
+        assert len(got) == 302 - late and rejected.count() == late
+        assert got.delta.tolist() == ([0, *[1] * 6, 0, *[1] * 293, 1] if not late else [0, *[1] * 300])
