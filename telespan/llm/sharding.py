@@ -2,12 +2,17 @@
 
 Records hash into thousands of slots, bytes are summed per slot, and a versioned
 slot-to-shard map says where each slot lives. Rebalancing edits the map and so
-moves few slots; records never rehash. Only the map, of at most ``N_SLOTS`` rows,
-is ever held in one place.
+moves few slots; records never rehash. Only the map is ever held in one place.
+
+Rows that share a key share a slot, and one key may hold a third of all rows. A
+slot that holds more than ``1 / MOST_PIECES`` of all bytes is therefore cut by a
+hash of the rows' positions into pieces of about that share, and each piece is a
+slot of the map, numbered from ``N_SLOTS`` on: the map has at most ``N_SLOTS``
+plus ``MOST_PIECES`` rows, whatever the keys.
 
 Defined results: a null text has no bytes and the checksum of the empty text; a
 row without doc_id hashes by its text; equal rows get different positions in any
-order; an empty table gives no rows and a map without slots; further columns of
+order, and where they are over a slot's share they are dealt to several shards; an empty table gives no rows and a map without slots; further columns of
 the input are ignored by the query and kept by :func:`assign`.
 """
 
@@ -19,6 +24,7 @@ from telespan.llm.base import documents, query, whole_text
 from telespan.scratch import materialize
 
 N_SLOTS = 4096
+MOST_PIECES = 1024
 N_SHARDS = 24
 ROW_BYTES = 8
 
@@ -33,8 +39,24 @@ def slot_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
 
+def cut_slots(rows: DataFrame, sizes: DataFrame, n_slots: int = N_SLOTS, most: int = MOST_PIECES) -> DataFrame:
+    """Rows with ``slot`` replaced by its piece where ``sizes`` has the slot over its share.
+
+    ``spread`` is a number that differs between the rows of a slot.
+    """
+    total = sizes.agg(F.sum("bytes").alias("all"))
+    share = F.ceil(F.col("bytes") * F.lit(1.0) * most / F.nullif(F.col("all"), F.lit(0)))
+    over = sizes.crossJoin(total).select(F.col("slot").alias("_slot"), share.alias("_pieces")).where("_pieces > 1")  # by a single row
+    piece = F.pmod("spread", F.coalesce("_pieces", F.lit(1)))
+    return (
+        rows.join(F.broadcast(over), F.col("slot") == F.col("_slot"), "left")  # fewer than MOST_PIECES rows
+        .withColumn("slot", (F.col("slot") + n_slots * piece).cast("int"))
+        .drop("_slot", "_pieces", "spread")
+    )
+
+
 def _one_row(sizes: DataFrame, *more: str) -> DataFrame:
-    """All slots, largest first, as an array in one row. There are at most N_SLOTS of them."""
+    """All slots, largest first, as an array in one row. There are at most N_SLOTS + MOST_PIECES of them."""
     item = F.struct((-F.col("bytes")).alias("neg"), "slot", *more)
     return sizes.agg(F.sort_array(F.collect_list(item)).alias("slots"))
 
@@ -121,21 +143,29 @@ def assign(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
     inside = Window.partitionBy("slot").orderBy(*order)
     return (
         rows.withColumn("in_slot", F.row_number().over(inside) - 1)
-        .join(F.broadcast(starts.select("slot", "shard", "start")), "slot")  # at most N_SLOTS rows
+        .join(F.broadcast(starts.select("slot", "shard", "start")), "slot")  # at most N_SLOTS + MOST_PIECES rows
         .withColumn("position", F.col("start") + F.col("in_slot"))
         .drop("start", "in_slot")
     )
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, slot, shard, position, map_version per document."""
+    """doc_id, size, text_crc32, slot, shard, position, map_version per document.
+
+    Texts are read once: what the later steps need of a row is written first, and
+    with it a hash of the row's position, so that it stays the same when a task
+    or a scan is repeated.
+    """
     text = whole_text()
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         slot_of(F.col("doc_id"), text).alias("slot"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("spread"),
     )
+    rows = materialize(rows, "slot-rows")
+    rows = cut_slots(rows, materialize(slot_sizes(rows), "slot-shares"))
     sizes = materialize(slot_sizes(rows), "slot-sizes")
     slot_map = materialize(first_map(sizes, n_shards), "slot-map")
     placed = assign(rows, slot_map.join(sizes, "slot"), ["doc_id", "text_crc32", "size"])

@@ -30,6 +30,20 @@ def test_sharding(spark, tmp_path):
     assert {r["law"] for r in got} == {"bytes"} and set(by_shard) <= set(range(24))
 
 
+@pytest.mark.parametrize("hot", ["copies without an id", "one repeated id"])
+def test_a_key_with_a_third_of_all_rows_is_dealt_to_all_shards(spark, hot):
+    docs = spark.range(0, 30_000, 1, 8).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(5 if hot == "one repeated id" else None)).alias("doc_id"),
+        F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), (F.col("id") % 90).cast("int"))).otherwise(F.lit("the same text " * 3)).alias("text"),
+    )
+    got = sharding.shard_documents(docs).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == 30_000 and len(loads) == 24 and loads.max() < 1.01 * loads.min()
+    assert all(sorted(p) == list(range(len(p))) for _, p in got.groupby("shard").position)
+    assert got.slot.nunique() <= sharding.N_SLOTS + sharding.MOST_PIECES
+    assert got[got.doc_id.isna() | (got.doc_id == 5)].groupby("slot")["size"].sum().max() < 2 * got["size"].sum() / sharding.MOST_PIECES
+
+
 def test_shards_are_even_and_maps_change_little(spark):
     rows_ = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 97 + 8).alias("size"))
     rows_ = rows_.withColumn("slot", sharding.slot_of(F.col("doc_id"), F.lit("")))
