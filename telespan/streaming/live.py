@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -55,27 +54,26 @@ def dropped_rows(run: StreamingQuery) -> int:
     return sum(s.numRowsDroppedByWatermark for p in run.recentProgress for s in p.stateOperators)
 
 
-BUCKET_US = 60_000_000  # rows wait in buckets of one minute of event time
-
-
 class InOrder(StatefulProcessor):
     """Rows of a key in event-time order, whatever order they came in.
 
-    Rows wait in map state, in buckets of event time, each with a timer at its
-    end. Timers go off in the order of time once the watermark has passed them;
-    the bucket's rows are then handed on in order. So a batch reads and writes
-    the buckets of its own rows and those it releases, however many wait, and
-    results do not depend on how a stream is cut into micro-batches. A row that
-    comes after later rows of its key were handed on is passed through with
-    ``late`` set; the last rows wait until the watermark moves on or
-    :func:`finish` takes them.
+    Rows wait in list state, to which a batch only appends. A timer stands at
+    the median time of the rows that waited when it was set; once the watermark
+    has passed it, all rows that the watermark has passed are handed on in
+    order. So reading and rewriting the list releases at least half of what it
+    held then: a row is read a bounded number of times on average, however many
+    wait, and waits at most half a backlog longer than it must. Results do not
+    depend on how a stream is cut into micro-batches. A row that comes after
+    later rows of its key were handed on is passed through with ``late`` set;
+    the last rows wait until the watermark moves on or :func:`finish` takes them.
     """
 
     time, value, kind = "ts", "value", "double"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", f"us array<long>, value array<{self.kind}>")
+        self.waiting = handle.getListState("waiting", f"us long, value {self.kind}")
+        self.due = handle.getValueState("due", "us long")
         self.newest = handle.getValueState("newest", f"us long, value {self.kind}")
 
     def step(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
@@ -84,38 +82,40 @@ class InOrder(StatefulProcessor):
     def rejected(self, key, times: pd.Series, values: pd.Series) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _in_time(self, rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-        """Rows not before the last one handed on, and the others."""
-        newest = tuple(self.newest.get()) if self.newest.exists() else None
-        late = [x for x in rows if newest and x < newest]
-        return ([x for x in rows if x >= newest] if late else rows), late
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         us = batch[self.time].to_numpy().astype("datetime64[us]").astype("int64")
-        new, late = self._in_time(sorted(zip(us.tolist(), batch[self.value].tolist())))
+        rows = sorted(zip(us.tolist(), batch[self.value].tolist()))
+        newest = tuple(self.newest.get()) if self.newest.exists() else None
+        late = [x for x in rows if newest and x < newest]
+        new = rows[len(late) :]
         if late:
             yield self.rejected(key, *_columns(late))
-        for bucket, added in groupby(new, lambda x: x[0] // BUCKET_US):
-            times, values = map(list, zip(*added))
-            if self.waiting.containsKey((bucket,)):
-                held = self.waiting.getValue((bucket,))
-                times, values = [*held[0], *times], [*held[1], *values]
-            self.waiting.updateValue((bucket,), (times, values))
-            self.handle.registerTimer((bucket + 1) * BUCKET_US // 1000)
+        if new:
+            self.waiting.appendList(new)
+            if not self.due.exists():
+                self._wait(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // BUCKET_US - 1
-        if not self.waiting.containsKey((bucket,)):
-            return
-        ready, late = self._in_time(sorted(zip(*self.waiting.getValue((bucket,)))))
-        self.waiting.removeKey((bucket,))
-        if late:
-            yield self.rejected(key, *_columns(late))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(x) for x in self.waiting.get())
+        ready = [x for x in held if x[0] < passed]
+        held = held[len(ready) :]
+        if held:
+            self.waiting.put(held)
+            self._wait(held)
+        else:
+            self.waiting.clear()
+            self.due.clear()
         if ready:
             self.newest.update(ready[-1])
             yield self.step(key, *_columns(ready))
 
+    def _wait(self, held: list[tuple]) -> None:
+        us = held[len(held) // 2][0]
+        self.due.update((us,))
+        self.handle.registerTimer(us // 1000 + 1)
+
     def close(self) -> None:
         pass
 
@@ -168,8 +168,7 @@ def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
 
 
 def _waiting(spark: SparkSession, checkpoint: str, key: str, state: str) -> DataFrame:
-    held = _state(spark, checkpoint, "waiting").select(F.col(f"key.{key}").alias(key), "user_map_value.us", "user_map_value.value")
-    rows = held.select(key, F.inline(F.arrays_zip("us", "value")))
+    rows = _state(spark, checkpoint, "waiting").select(F.col(f"key.{key}").alias(key), "list_element.us", "list_element.value")
     before = _state(spark, checkpoint, state).select(F.col(f"key.{key}").alias("_key"), F.col("value").alias("state"))
     return rows.join(before, F.col(key).eqNullSafe(F.col("_key")), "left")
 

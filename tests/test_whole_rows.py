@@ -150,8 +150,8 @@ def test_streamed_bins_have_the_options_of_the_batch(spark, tmp_path):
         assert live.dropped_rows(run) == 1
 
 
-def test_a_batch_touches_its_own_buckets_only(spark, tmp_path):
-    """Many rows wait; a batch of one row, in a bucket of its own or in one that is there, writes a few entries."""
+def test_rows_wait_without_being_read_again(spark, tmp_path):
+    """Many rows wait; a batch of one row adds its own entry and no more."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
     start = pd.Timestamp("2024-01-01 00:00:00.5")
     first = [(start + pd.Timedelta(minutes=m), m) for m in range(300)]
