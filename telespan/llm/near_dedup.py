@@ -15,10 +15,9 @@ and largest buckets, which is the original where there is one. Then the nodes
 left outside the pivot's class are compared with all nodes of the bucket in
 other classes, but for pairs that cannot be similar: what either shares with
 the pivot bounds what they share with each other (Jaccard distance is a
-metric), and k-mers that no other node of these buckets has are aligned with
-nothing, so that the others, counted by part of a hash, bound what a pair can
-share. So no pair of different classes
-that may be similar goes untested, and no group is collected.
+metric), and where the parities of their k-mers by part of a hash differ, one
+has a k-mer that the other has not. So no pair of different classes that may
+be similar goes untested, no group is collected, and no k-mer is a row.
 
 Defined results: a null text is empty, and all empty texts are equal; case and
 white space do not count; a text of under five words is one k-mer; a row
@@ -46,7 +45,7 @@ FUNCTIONS = 24
 TAKEN = 3  # labelled k-mers per function
 SIMILAR = 0.8
 SMALL = 24
-PARTS = 128  # counts of a node's k-mers by hash
+BITS = 2  # parities kept for each k-mer of a text
 KEPT_TEXTS = 200  # prepared texts a task keeps
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -149,6 +148,30 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def parities(labelled: np.ndarray) -> np.ndarray:
+    """A bit per part of a hash: whether the part holds an odd number of these labelled k-mers.
+
+    At least BITS parts a k-mer, a power of two. Where the bits of two texts
+    differ, one of them has a k-mer that the other has not.
+    """
+    width = max(64, 1 << max(0, BITS * len(labelled) - 1).bit_length())
+    odd = np.bincount((labelled % np.uint64(width)).astype(np.int64), minlength=width) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def apart(x: Column, y: Column) -> Column:
+    """How many of these parities differ: at most the labelled k-mers that only one of the texts has.
+
+    The wider is folded once, which is all that texts of similar sizes need.
+    """
+    n = F.least(F.size(x), F.size(y))
+    narrow = lambda b: F.when(
+        F.size(b) > n, F.zip_with(F.slice(b, F.lit(1), n), F.slice(b, n + 1, n), lambda low, high: low.bitwiseXOR(high))
+    ).otherwise(b)
+    differ = F.zip_with(narrow(x), narrow(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(differ, F.lit(0), lambda n, v: n + v)
+
+
 def plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
@@ -207,19 +230,17 @@ def small_pairs(buckets: DataFrame) -> DataFrame:
 def pivot_pairs(rows: DataFrame, pivots: DataFrame, once: bool = False) -> DataFrame:
     """Pairs of each pivot with the nodes of its bucket that are in other classes and may be similar to it.
 
-    ``once``: both sides have ``keys``, and a pair comes only from the first bucket that it shares.
+    ``once``: both sides have ``keys`` and ``bits``, and a pair comes only from the first bucket that it shares.
     """
     x, y = rows.alias("x"), pivots.alias("y")
-    total = F.col("x.size") + F.col("y.size")
-    shared = F.least(F.col("x.size") - F.col("x.lone"), F.col("y.size") - F.col("y.lone"))
-    may = (F.col("x.label") != F.col("y.label")) & (shared >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
-    apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
-    may = may & (apart <= 1 - SIMILAR + 1e-9)
+    may = (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.size"), F.col("y.size"))
+    beyond = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
+    may = may & (beyond <= 1 - SIMILAR + 1e-9)
     if once:
-        # Of a part of the k-mers, two nodes share at most the smaller count.
-        common = F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.least(a, b)), F.lit(0), lambda n, v: n + v)
-        may = may & (common >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
         may = may & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+        # Of all k-mers of both, similar texts have at most so many that only one of them has.
+        most = (1 - SIMILAR) / (1 + SIMILAR) * (F.col("x.size") + F.col("y.size"))
+        may = may & (apart(F.col("x.bits"), F.col("y.bits")) <= most + 1e-9)
     both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & may)
     return both.select(*_pairs(F.col("x.node"), F.col("y.node"))).distinct()
 
@@ -265,32 +286,15 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", _verifier()("a", "b", "text_a", "text_b").alias("c")).select("a", "b", "c.*")
 
 
-def lone_kmers(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, lone, parts: how many of its labelled k-mers no other of these nodes has, and the others by part of a hash."""
+def bits_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and its parities, one row for each node of these rows."""
 
     @F.pandas_udf("array<bigint>")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([kmers([t])[0].view(np.int64) for t in texts])
-
-    @F.pandas_udf("array<int>")
-    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, alone in batches:
-            out = []
-            for t, of in zip(texts, alone):
-                all_ = np.bincount((kmers([t])[0] % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
-                out.append((all_ - np.bincount(np.asarray(of, dtype=np.int64), minlength=PARTS)).astype(np.int32))
-            yield pd.Series(out)
-
-    some = texts.join(rows.select("node").distinct(), "node", "left_semi")
-    each = some.select("node", F.explode(digests("text")).alias("kmer"))
-    lone = each.groupBy("kmer").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    # The part of a digest as the tasks see it: its lowest bits, whatever its sign.
-    part = F.col("kmer").bitwiseAND(F.lit(PARTS - 1)).cast("int")
-    # At most the k-mers of one text.
-    alone = lone.groupBy("node").agg(F.collect_list(part).alias("of"))
-    found = some.join(alone, "node", "left").withColumn("of", F.coalesce("of", F.array().cast("array<int>")))
-    return found.select("node", F.size("of").alias("lone"), shared("text", "of").alias("parts"))
+            yield pd.Series([parities(kmers([t])[0]) for t in texts])
+
+    return texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", marked("text").alias("bits"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,7 +346,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = materialize(large.join(weight, "node"), "dup-large")
     best = F.max(F.struct("weight", "node", "size")).alias("p")
     pivots = materialize(large.groupBy("key").agg(best).select("key", "p.node", "p.size"), "dup-pivots")
-    free = {"label": F.col("node"), "lone": F.lit(0), "near": F.lit(0.0), "far": F.lit(1.0)}  # nothing known yet
+    free = {"label": F.col("node"), "near": F.lit(0.0), "far": F.lit(1.0)}  # nothing known yet
     as_own = lambda rows: rows.withColumns(free)
     pairs = small_pairs(buckets).union(pivot_pairs(as_own(large), as_own(pivots))).distinct()
     seen = materialize(compared(pairs, texts), "dup-compared")
@@ -353,15 +357,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.max_by("label", F.struct("weight", "node")).alias("main")
     split = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).where("low != high")
     rows = _distances(rows.join(split.select("key", "main"), "key"), pivots, seen)
-    lone = materialize(lone_kmers(rows, texts), "dup-lone")
-    rows = rows.join(lone, "node")
-    # Nodes outside the pivot's class. With so many k-mers of its own a node is similar to none.
-    rest = rows.where((F.col("label") != F.col("main")) & (F.col("lone") <= (1 - SIMILAR) * F.col("size") + 1e-9))
-    keys = nodes.select("node", "keys")
-    rest = rest.select("key", "node", "size", "label", "lone", "parts", "near", "far").join(keys, "node")
+    known = materialize(bits_of(rows, texts).join(nodes.select("node", "keys"), "node"), "dup-bits")
+    rows = rows.join(known, "node")
+    # Nodes outside the pivot's class.
+    rest = rows.where(F.col("label") != F.col("main")).select("key", "node", "size", "label", "keys", "bits", "near", "far")
     rest = materialize(rest, "dup-rest")
     if rest.limit(1).count():
-        more = compared(pivot_pairs(rows.join(keys, "node"), rest, once=True), texts).where("linked").select("a", "b")
+        more = compared(pivot_pairs(rows, rest, once=True), texts).where("linked").select("a", "b")
         labels = components(materialize(links.union(more), "dup-links"))
     return nodes, labels
 
