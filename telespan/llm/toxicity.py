@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,7 @@ REPORTED = 0.5  # tokens of at least this marginal are offending
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7, 8)
 
+TAGGER_SCHEMA = "names array<string>, weights array<double>, bias double, move array<double>, heads array<double>"
 SCORE_SCHEMA = "score double, spans array<array<bigint>>"
 
 
@@ -134,7 +135,7 @@ def _distinct(texts: list[str], labels: list[int]) -> list[int]:
     return out
 
 
-def _associations(docs: list[set[str]], labels: np.ndarray) -> dict[str, float]:
+def _associations(docs: Iterable[set[str]], labels: np.ndarray) -> dict[str, float]:
     """Log odds ratio of each feature over its standard deviation."""
     toxic, other = Counter(), Counter()
     for found, label in zip(docs, labels):
@@ -220,8 +221,9 @@ def fit(texts: list[str], labels: list[int]) -> Tagger | None:
     y = np.array([labels[i] for i in keep], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    tokens = [WORD.findall(_lower(texts[i])) for i in keep]
-    score = _associations([{f for w in set(t) for f in features(w)} for t in tokens], y)
+    known: dict[str, str] = {}  # one string a word, however often it stands
+    tokens = [[known.setdefault(w, w) for w in WORD.findall(_lower(texts[i]))] for i in keep]
+    score = _associations(({f for w in set(t) for f in features(w)} for t in tokens), y)
     names = {name: i for i, name in enumerate(score)}
     words = sorted({w for t in tokens for w in t})
     place = {w: i for i, w in enumerate(words)}
@@ -267,20 +269,42 @@ def fit(texts: list[str], labels: list[int]) -> Tagger | None:
     return tagger
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most SAMPLE texts of each class, by a digest of their ids; none that is held out."""
+def sample_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text and toxic of at most SAMPLE rows of each class, by a digest of their ids and in its order; none that is held out."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).withColumn("turn", F.md5(F.col("doc_id").cast("string").cast("binary")))
     picked = [known.where(F.col("toxic") == c).orderBy("turn").limit(SAMPLE) for c in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]))  # at most twice SAMPLE rows
     rows = docs.select("doc_id", whole_text().alias("text")).join(ids, "doc_id")
     rows = rows.where(F.length("text") <= SAMPLE_CHARS).orderBy("turn", "text").limit(2 * SAMPLE)
-    found = rows.select("text", "toxic").collect()
+    return rows.select("text", "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
+    found = sample_rows(docs, labels).collect()
     return [r["text"] for r in found], [int(r["toxic"]) for r in found]
 
 
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tagger of all rows of a partition as one row; none without both classes."""
+    texts, labels = [], []
+    for rows in batches:
+        texts += rows["text"].tolist()
+        labels += [int(x) for x in rows["toxic"]]
+    found = fit(texts, labels)
+    if found is not None:
+        names, weights = list(found.weights), list(found.weights.values())
+        row = [names, weights, found.bias, found.move.ravel().tolist(), found.heads.tolist()]
+        yield pd.DataFrame([row], columns=["names", "weights", "bias", "move", "heads"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Tagger | None:
-    return fit(*sample(docs, labels))
+    """Fits in the one task that a limit leaves; only the weights come to the driver."""
+    found = sample_rows(docs, labels).mapInPandas(_fitted, TAGGER_SCHEMA).collect()
+    if not found:
+        return None
+    (r,) = found
+    return Tagger(dict(zip(r["names"], r["weights"])), r["bias"], np.array(r["move"]).reshape(2, 2), np.array(r["heads"]))
 
 
 # ---- scoring ----
