@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from telespan.functions import scalar as S
@@ -73,10 +76,13 @@ def recursive_forecast(rows: DataFrame, models: dict[str, Model], look_back: int
 
     The state is one row per series, whatever its length. Every step is one
     distributed transform; after a few steps the state is written out, which
-    keeps plans short and lets a lost executor restart from the table.
+    keeps plans short and lets a lost executor restart from the table. Linear
+    models need no transform: all steps of a series run where its row is.
     """
     length = max(look_back, max(w for w in ROLL_WINDOWS if w <= look_back))
     state = last_state(rows, length).join(sampling_step(rows), "series_id")
+    if all(isinstance(models[m], LinearRegressionModel) for m in METRICS):
+        return materialize(_linear_steps(state, models, look_back, steps), "forecast-steps")
     state = state.withColumn("done", F.array().cast("array<struct<step_no:int,timestamp:timestamp_ntz,traffic_mbps:double,latency_ms:double,packet_loss_pct:double>>"))
     assemble = VectorAssembler(inputCols=feature_names(look_back), outputCol="features")
     kept = ["series_id", "last_time", "step_seconds", "done", *[f"h_{m}" for m in METRICS]]
@@ -101,6 +107,52 @@ def recursive_forecast(rows: DataFrame, models: dict[str, Model], look_back: int
     return state.select("series_id", F.inline("done"))
 
 
+def _linear_steps(state: DataFrame, models: dict[str, Model], look_back: int, steps: int) -> DataFrame:
+    """All steps of a batch of series at once, by the coefficients of the models."""
+    slopes = np.column_stack([models[m].coefficients.toArray() for m in METRICS])
+    intercepts = np.array([models[m].intercept for m in METRICS])
+    windows = [w for w in ROLL_WINDOWS if w <= look_back]
+    past = [f"h_{m}" for m in METRICS]
+    times = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: advance(F.col("last_time"), i))
+    calendar = lambda t: F.struct(*[c.alias(n) for n, c in (S.calendar(t) | {"is_weekend": S.is_weekend(t)}).items()])
+    ready = state.select("series_id", times.alias("times"), *past).withColumn("calendar", F.transform("times", calendar))
+
+    def features(values: np.ndarray, day: np.ndarray) -> np.ndarray:
+        """As :func:`next_features`, in the order of ``feature_names``; ``values`` by series, metric and age."""
+        columns = [day]
+        for k in range(len(METRICS)):
+            lags = values[:, k]
+            columns.append(lags[:, :look_back])
+            for w in windows:
+                last = lags[:, :w]
+                columns += [last.mean(axis=1)[:, None], last.std(axis=1, ddof=1)[:, None], last.max(axis=1)[:, None]]
+            columns.append((lags[:, 0] - lags[:, 1])[:, None])
+        return np.hstack(columns)
+
+    def ran(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            flat = lambda c: batch.column(c).flatten()
+            values = np.stack([flat(c).to_numpy(zero_copy_only=False).reshape(n, -1) for c in past], axis=1)
+            days = flat("calendar")
+            days = np.column_stack([days.field(c).to_numpy(zero_copy_only=False) for c in CALENDAR_FEATURES]).reshape(n, steps, -1)
+            out = np.empty((n, steps, len(METRICS)))
+            for i in range(steps):
+                x = features(values, days[:, i])
+                if np.isnan(x).any():
+                    raise ValueError("a feature of the next row has no value")
+                out[:, i] = np.maximum(x @ slopes + intercepts, 0.0)
+                values = np.concatenate([out[:, i, :, None], values[:, :, :-1]], axis=2)
+            series = batch.column("series_id").take(pa.array(np.repeat(np.arange(n), steps)))
+            numbers = pa.array(np.tile(np.arange(1, steps + 1, dtype=np.int32), n))
+            found = [pa.array(out[:, :, k].ravel()) for k in range(len(METRICS))]
+            yield pa.RecordBatch.from_arrays([series, numbers, flat("times"), *found], ["series_id", "step_no", "timestamp", *METRICS])
+
+    return ready.mapInArrow(ran, "series_id string, step_no int, timestamp timestamp_ntz, " + ", ".join(f"{m} double" for m in METRICS))
+
+
 def with_bands(forecast: DataFrame, residual_std: DataFrame | None = None) -> DataFrame:
     """A-31 at forecast time: from stored widths (one column per metric), else a tenth of the mean forecast."""
     if residual_std is None:

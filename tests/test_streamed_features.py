@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from telespan.model import METRICS
 from telespan.operators import features as X
 from telespan.operators.layout import index_rows
+from telespan.plans import forecast as FP
 from telespan.plans import learn
 
 
@@ -65,3 +66,16 @@ def test_points_have_the_moments():
     points = learn.rows_with(x.mean(axis=0), np.cov(x.T, ddof=0))
     assert len(points) == 10 and np.allclose(points.mean(axis=0), x.mean(axis=0))
     assert np.allclose(np.cov(points.T, ddof=0), np.cov(x.T, ddof=0), rtol=1e-9, atol=1e-9) and (points[:, 4] == 0.25).all()
+
+
+def test_steps_of_a_batch_equal_steps_as_transforms(rows, monkeypatch):
+    fitted = learn.fit_by_moments(rows, "linear", 24)
+    known = rows.filter("series_id IN ('a', 'b')")
+    found = FP.recursive_forecast(known, fitted.models, 24, 5)
+    assert found.columns == ["series_id", "step_no", "timestamp", *METRICS]
+    order = ["series_id", "step_no"]
+    monkeypatch.setattr(FP, "LinearRegressionModel", type("Other", (), {}))  # as for models without coefficients
+    want = FP.recursive_forecast(known, fitted.models, 24, 5).toPandas().sort_values(order).reset_index(drop=True)
+    found = found.toPandas().sort_values(order).reset_index(drop=True)
+    assert len(found) == 10 and found[[*order, "timestamp"]].equals(want[[*order, "timestamp"]])
+    assert np.allclose(found[METRICS], want[METRICS], atol=1e-9)
