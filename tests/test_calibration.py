@@ -1,8 +1,9 @@
-"""Lookups of small tables, and the tuned chain in one lookup."""
+"""The calibration grid, against every row at every point; lookups of small tables."""
 
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from telespan.operators import blend as L
@@ -22,6 +23,47 @@ def cases():
     return out + [("gaps", "m", 0, 3.0, None, 2.0), ("gaps", "m", 1, 4.0, 5.0, 3.0), ("gaps", "m", 2, 5.0, 5.5, 4.0)]
 
 
+def plain(rows, threshold):
+    actual, predicted, persistence = (np.array([r[k] for r in rows if None not in r], float) for k in (3, 4, 5))
+    sd = max(np.std([r[3] for r in rows]), 1e-9)
+    base = np.mean([abs(r[3] - r[5]) for r in rows])
+    scores = []
+    for g in range(210):
+        scale, bias, w = (85 + 5 * (g // 30)) / 100, ((g // 6) % 5 - 2) * 0.05 * sd, (g % 6) / 10
+        p = (scale * predicted + bias + w * persistence) / (1 + w)
+        mae = np.abs(actual - p).mean()
+        a, n, tp = (actual > threshold).sum(), (p > threshold).sum(), ((actual > threshold) & (p > threshold)).sum()
+        precision, recall = tp / max(n, 1), tp / max(a, 1)
+        f1 = 2 * precision * recall / max(precision + recall, 1e-9)
+        unit = lambda v: max(0, min(1, v))
+        spikes = unit(f1) if a else (1.0 if n < 5 else unit(1 - n / 20))
+        score = 100 * (0.6 * 0.55 * unit(np.log2(max(base, 1e-9) / max(mae, 1e-9))) + 0.4 * spikes)
+        if rows[0][1] == "traffic_mbps":
+            score -= (10 if n < 5 else 0) + (15 * (n / max(a, 1) - 1.3) if a and n > 1.3 * a else 0)
+        scores.append(round(score, 9))
+    g = int(np.argmax(scores))
+    return (85 + 5 * (g // 30)) / 100, ((g // 6) % 5 - 2) * 0.05 * sd, (g % 6) / 10
+
+
+@pytest.mark.parametrize("piece", [500, 32])
+def test_best_point_of_all(spark, monkeypatch, piece):
+    monkeypatch.setattr(L, "PIECE", piece)
+    df = spark.createDataFrame(cases(), SCHEMA)
+    thresholds = df.select("series_id", "metric").distinct().withColumn("threshold", F.lit(12.0))
+    found = {r.series_id: r for r in L.calibration(df, thresholds).collect()}
+    assert set(found) == {"long", "short", "calm", "one", "gaps"}
+    for series, r in found.items():
+        want = plain([c for c in cases() if c[0] == series], 12.0)
+        assert (r.scale, r.bias, r.persistence_weight) == pytest.approx(want, abs=1e-9), series
+
+
+def test_no_row_is_repeated_for_the_calibration_grid(spark):
+    df = spark.createDataFrame(cases(), SCHEMA)
+    thresholds = df.select("series_id", "metric").distinct().withColumn("threshold", F.lit(12.0))
+    plan = L.calibration(df, thresholds)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate") == 1  # points of pieces after the sums
+
+
 def test_small_table_is_broadcast_once(spark):
     rows = spark.range(100).select(F.concat(F.lit("s"), F.col("id") % 10).alias("series_id"), F.col("id").alias("row_idx"))
     table = materialize(spark.createDataFrame([(f"s{i}", float(i)) for i in range(10)], "series_id string, top double"), "tops")
