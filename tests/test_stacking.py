@@ -42,3 +42,24 @@ def test_weights_are_the_best_of_all_vectors(spark, monkeypatch, runs):
 
 def test_one_run_has_no_weights(spark):
     assert L.stacking_weights(spark.createDataFrame([("a", "m", "x", 0, 1.0, 1.0)], "series_id string, method string, metric string, row_idx bigint, actual double, predicted double"), ["m"]) is None
+
+
+@pytest.mark.parametrize("lengths", [(90, 90), (90, 30)])
+def test_short_series_hand_on_no_sums(spark, monkeypatch, lengths):
+    """One series over ``SCORED_ROWS`` rows hands on arrays of sums, one under it only its weights; both have the best of all vectors."""
+    monkeypatch.setattr(L, "SCORED_ROWS", 40)
+    written = []
+    monkeypatch.setattr(L, "materialize", lambda df, label: written.append(df.cache()) or written[-1])
+    rows = [r for n, s in zip(lengths, "ab") for r in long_rows(3, n, n) if r[0] == s]
+    methods = sorted({r[1] for r in rows})
+    df = spark.createDataFrame(rows, "series_id string, method string, metric string, row_idx bigint, actual double, predicted double")
+    found = {r.series_id: r for r in L.stacking_weights(df, methods, 200).collect()}
+    vectors = L.weight_vectors(3, 200)
+    for n, s in zip(lengths, "ab"):
+        tails = [[r[5] for r in rows if r[0] == s and r[1] == m][::-1][: n - 2] for m in methods]
+        actual = np.array([r[4] for r in rows if r[0] == s and r[1] == methods[0]][::-1][: n - 2])
+        errors = np.abs(vectors @ np.array(tails) - actual).mean(axis=1)
+        assert found[s].val_mae == pytest.approx(errors.min(), abs=1e-12)
+        assert np.allclose([found[s][f"w{i}"] for i in range(3)], vectors[np.round(errors, 9).argmin()])
+    sums = {(r.series_id, r.sums is None) for r in written[0].select("series_id", "sums").collect()}
+    assert sums == {(s, n <= 40) for n, s in zip(lengths, "ab")}
